@@ -25,10 +25,11 @@ _BLANKS = (" ", "\t", "\n", "\u000b", "\f", "\r")
 _SYMBOLS = "#*$%&|<>"
 
 
-def _spaced(text: Column) -> Column:
+def spaced(text: Column | str, keep: str = "") -> Column:
+    """A text, empty for null, with every blank but those to keep made a space."""
     out = F.coalesce(text, F.lit(""))
     for blank in _BLANKS[1:]:
-        out = F.replace(out, F.lit(blank), F.lit(" "))
+        out = out if blank in keep else F.replace(out, F.lit(blank), F.lit(" "))
     return out
 
 
@@ -43,7 +44,7 @@ def word_hashes(text: Column) -> Column:
 
     Blanks become single characters to split at, which needs no regular expression.
     """
-    return F.transform(F.filter(F.split(_spaced(text), " ", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.filter(F.split(spaced(text), " ", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _shifted(hashes: Column, by: int) -> Column:

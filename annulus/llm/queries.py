@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, quality, token_counts
+from . import bpe, chat, langid, line_dedup, mixing, ngram_join, quality, token_counts
 from .common import table
 
 
@@ -21,6 +21,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_kept_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -71,11 +80,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op5_bpe": op5_bpe,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+#: Words as everywhere: runs of other characters than the six blanks.
+_WORDS = "list_filter(str_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+SQL: dict[str, str] = {
+    "op2_line_dedup": f"""
+WITH split AS (
+  SELECT doc_id, str_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, i AS line, ls[i] AS t, {_WORDS.format("ls[i]")} AS w
+  FROM split, unnest(range(1, len(ls) + 1)) AS r(i)
+), firsts AS (
+  SELECT w, min((doc_id, line)) AS f FROM lines WHERE len(w) >= 5 GROUP BY w
+), variants AS (
+  SELECT list_filter(w, lambda x, j: j <> g) AS r, g, f, w FROM firsts, unnest(range(1, len(w) + 1)) AS q(g)
+  UNION ALL SELECT w, 0, f, w FROM firsts
+), keyed AS (
+  SELECT *, min(f) OVER (PARTITION BY r, g) AS gap, min(CASE WHEN g = 0 THEN f END) OVER (PARTITION BY r) AS own,
+    min(CASE WHEN g > 0 THEN f END) OVER (PARTITION BY r) AS other
+  FROM variants
+), gone AS (
+  SELECT DISTINCT f FROM keyed WHERE (g = 0 AND other < f) OR (g > 0 AND (gap < f OR own < f))
+), kept AS (
+  SELECT l.doc_id, l.line, l.t FROM lines l LEFT JOIN firsts s ON l.w = s.w
+  WHERE len(l.w) < 5 OR ((l.doc_id, l.line) = s.f AND s.f NOT IN (SELECT f FROM gone))
+), texts AS (
+  SELECT doc_id, count(*) AS k, string_agg(t, chr(10) ORDER BY line) AS t FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(s.ls) END::BIGINT AS n_lines,
+  CASE WHEN d.text IS NULL THEN 0 ELSE coalesce(t.k, 0) END::BIGINT AS n_kept_lines, sha256(coalesce(t.t, '')) AS kept_sha256
+FROM documents d JOIN split s USING (doc_id) LEFT JOIN texts t USING (doc_id)
+""",
+}

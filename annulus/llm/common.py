@@ -60,18 +60,20 @@ class Bitmap:
     parameter and doesn't follow the data.
     """
 
-    def __init__(self, keys: DataFrame, key: str, bits: int = 1 << 22) -> None:
+    def __init__(self, keys: DataFrame, key: str, bits: int = 1 << 22, hashed: bool = True) -> None:
         self.bits, spark = bits, keys.sparkSession
-        at = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+        at = F.pmod(F.xxhash64(F.col(key)) if hashed else F.col(key), F.lit(bits))
         words = (
             keys.select(F.floor(at / 64).alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
             .groupBy("w")
             .agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))
             .collect()
         )  # at most bits / 64 rows
-        dense = np.zeros(bits // 64, dtype=np.int64)
+        self.dense = dense = np.zeros(bits // 64, dtype=np.int64)
         for w, v in words:
             dense[w] = v
+        if not hashed:  # keys that are hashes already, tested with numpy
+            return
         schema = T.StructType([T.StructField("__words", T.ArrayType(T.LongType(), False), False)])
         self.row = spark.createDataFrame([(dense.tolist(),)], schema)
 
@@ -90,3 +92,26 @@ def _bit(word: Column, bit: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def before(values: Column, fold, zero: Column, run: int = 16) -> Column:
+    """For each place of an array, the fold of the elements before it.
+
+    Runs of elements are folded first, so that a long array costs its length times `run` and
+    not its square.
+    """
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, fold)
+
+    def places(d: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(d) - 1) / run).cast("int")), lambda b: total(F.slice(d, b * run + 1, run)))
+        starts = let(runs, lambda r: F.transform(r, lambda x, b: total(F.slice(r, F.lit(1), b))))
+
+        def at(i: Column, r: Column) -> Column:
+            b = F.floor(i / run).cast("int")
+            return fold(F.get(r, b), total(F.slice(d, b * run + 1, i - b * run)))
+
+        return let(starts, lambda r: F.transform(d, lambda x, i: at(i, r)))
+
+    return let(values, lambda d: F.when(F.size(d) > 0, places(d)).otherwise(F.slice(d, 1, 0)))

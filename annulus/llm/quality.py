@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import let, pick
 
 BUCKETS = 1 << 14
+MAX_TRUSTED = 16_384
 THRESHOLD = -0.12
 SMOOTHING = 8.0
 WINDOW = 8
@@ -114,22 +115,25 @@ def grams(buckets: int) -> Column:
     return F.transform(F.concat("h", "h2"), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smoothing: float = SMOOTHING, key: str = "doc_id", text: str = "text") -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smoothing: float = SMOOTHING, max_trusted: int = MAX_TRUSTED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row: `__ratios`, log p_target - log p_raw of each bucket.
 
-    trusted: keys of the target documents (repeats and nulls don't matter).  Counts cover all
-    documents and are summed within tasks before the shuffle; the row has `buckets` numbers.
+    trusted: keys of the target documents (repeats and nulls don't matter); at most
+    `max_trusted` of them are fitted on, drawn by hash, so that they can be broadcast.  The raw
+    counts cover all documents.  Counts are summed within tasks before the shuffle; the row has
+    `buckets` numbers.
     Without any target n-gram every ratio is 0, so that nothing is rejected unjudged.
     """
     rows = pick(docs, key, text)
     good = pick(trusted, key).where(F.col(key).isNotNull()).distinct().select(F.col(key).alias("__good"))
+    good = good.orderBy(F.xxhash64("__good"), "__good").limit(max_trusted)
 
     def counted(part: DataFrame, name: str) -> DataFrame:
         hashed = part.select(word_hashes(F.col(text)).alias("h")).withColumn("h2", doubled(F.col("h"), 1))
         return hashed.select(F.explode(grams(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    target = rows.join(good, F.col(key) == F.col("__good"), "left_semi")
+    target = rows.join(F.broadcast(good), F.col(key) == F.col("__good"), "left_semi")
     both = every.join(counted(rows, "raw"), "bucket", "left").join(counted(target, "good"), "bucket", "left").na.fill(0, ["raw", "good"])
     sums = both.agg(F.sum("raw").alias("r"), F.sum("good").alias("g"))
     ratio = F.log((F.col("good") + smoothing * F.col("g") / F.col("r")) / F.col("g")) - F.log((F.col("raw") + smoothing) / F.col("r"))

@@ -77,12 +77,13 @@ class Bitmap:
         schema = T.StructType([T.StructField("__words", T.ArrayType(T.LongType(), False), False)])
         self.row = spark.createDataFrame([(dense.tolist(),)], schema)
 
-    def keep(self, df: DataFrame, key: str) -> DataFrame:
-        """The rows of df whose key may be in the set."""
+    def keep(self, df: DataFrame, key: str, inside: bool = True) -> DataFrame:
+        """The rows of df whose key may be in the set, or those whose key surely isn't (nulls too)."""
         at = F.pmod(F.xxhash64(F.col(key)), F.lit(self.bits))
         word = F.get(F.col("__words"), F.floor(at / 64).cast("int"))
         bit = F.pmod(at, F.lit(64)).cast("int")
-        return df.join(F.broadcast(self.row)).where(_bit(word, bit) == 1).drop("__words")
+        may_be = F.coalesce(_bit(word, bit) == 1, F.lit(False))
+        return df.join(F.broadcast(self.row)).where(may_be if inside else ~may_be).drop("__words")
 
 
 def _bit(word: Column, bit: Column) -> Column:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bitmap, pick, stored
@@ -279,6 +279,28 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, key: s
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that link, directly or through others, with a smaller id.
+
+    Rows that repeat an id are one document, of which the row with the greatest text stays.
+    Rows with a null id, and documents without words, always stay, each as often as it is there.
+    Only the texts of rows that may go are shuffled.
+    """
+    found = jaccard_components(docs, k=k, percent=percent, key=key, text=text).select(F.col(key).alias("__id"), "n_shingles", "component_id")
+    found = stored(found.where("n_shingles > 0 AND component_id IS NOT NULL"))
+    groups = found.groupBy("__id").agg(F.min("component_id").alias("__first"), F.count("*").alias("__rows"))
+    touched = stored(groups.where("__first <> __id OR __rows > 1"))
+    names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = (f"c{names.index(n)}" for n in (key, text))
+    rows, maybe = docs.toDF(*inner), Bitmap(touched, "__id")
+    joined = maybe.keep(rows, id_at).join(touched, F.col(id_at) == F.col("__id"), "left")
+    alone = joined.where("__id IS NULL").select(*inner)
+    turn = F.row_number().over(Window.partitionBy(id_at).orderBy(F.col(text_at).desc_nulls_last()))
+    several = joined.where("__first = __id").withColumn("__turn", turn).where("__turn = 1").select(*inner)
+    out = maybe.keep(rows, id_at, inside=False).unionByName(alone).unionByName(several)
+    return out.toDF(*names)
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold several components, with their component."""
     with_comp = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "pos", "id", "n", F.coalesce("component", "id").alias("comp"))

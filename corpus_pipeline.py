@@ -5,29 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annulus.llm import bpe, mixing, quality
-from annulus.llm.queries import tokenizer, trusted
+from annulus.llm import bpe, line_dedup, mixing, ngram_join, quality
 from annulus.llm.common import stored, table
-
-Documents = DataFrame
+from annulus.llm.queries import tokenizer, trusted
 
 
-def quality_stage(spark: SparkSession, docs: Documents, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.kept(docs, trusted(spark, sf_dir))
 
 
-def mixing_stage(spark: SparkSession, docs: Documents, sf_dir: str) -> DataFrame:
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document or line has go from the texts; every document stays."""
+    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def group_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five words, similarity 0.8."""
+    return ngram_join.one_of_each(docs, k=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays as often as the mix draws it."""
     return mixing.mix(docs)
 
 
-def bpe_stage(spark: SparkSession, docs: Documents, sf_dir: str) -> DataFrame:
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, one row per drawn copy."""
     return bpe.digests(docs, tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("quality", quality_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("groups", group_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
 
 #: The hash functions, components and the tokenizer have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -56,26 +56,29 @@ class Bitmap:
     """A Bloom filter with one hash over a long or string key, of a fixed number of bits.
 
     It never misses a key that was put in; a key that wasn't is let through by chance, so an
-    exact join always follows.  Its size, and so what is sent to the driver and broadcast, is a
+    exact join always follows.  Its size, and so what is broadcast or sent to the driver, is a
     parameter and doesn't follow the data.
     """
 
     def __init__(self, keys: DataFrame, key: str, bits: int = 1 << 22, hashed: bool = True) -> None:
-        self.bits, spark = bits, keys.sparkSession
+        self.bits = bits
         at = F.pmod(F.xxhash64(F.col(key)) if hashed else F.col(key), F.lit(bits))
-        words = (
-            keys.select(F.floor(at / 64).alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
-            .groupBy("w")
-            .agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))
-            .collect()
-        )  # at most bits / 64 rows
-        self.dense = dense = np.zeros(bits // 64, dtype=np.int64)
-        for w, v in words:
-            dense[w] = v
-        if not hashed:  # keys that are hashes already, tested with numpy
-            return
-        schema = T.StructType([T.StructField("__words", T.ArrayType(T.LongType(), False), False)])
-        self.row = spark.createDataFrame([(dense.tolist(),)], schema)
+        set_bits = keys.where(F.col(key).isNotNull()).select(F.floor(at / 64).alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
+        self.words = set_bits.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))  # at most bits / 64 rows
+
+    def dense(self) -> np.ndarray:
+        """The words on the driver, for tests with numpy."""
+        out = np.zeros(self.bits // 64, dtype=np.int64)
+        for w, v in self.words.collect():
+            out[w] = v
+        return out
+
+    @cached_property
+    def row(self) -> DataFrame:
+        """One row: the words as an array."""
+        every = self.words.sparkSession.range(self.bits // 64).join(self.words, F.col("id") == F.col("w"), "left")
+        pairs = F.collect_list(F.struct("id", F.coalesce("v", F.lit(0).cast("long")).alias("v")))
+        return stored(every.agg(F.transform(F.array_sort(pairs), lambda x: x["v"]).alias("__words")))
 
     def keep(self, df: DataFrame, key: str, inside: bool = True) -> DataFrame:
         """The rows of df whose key may be in the set, or those whose key surely isn't (nulls too)."""

@@ -107,16 +107,17 @@ def kept_places(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     every = stored(lines.select("id", "line", *halves).groupBy("k0", "k1", "k2", "k3").agg(F.min(place).alias("first")))
     keyed = every.select("k0", "k1", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     common = stored(keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
-    open_lines = Bitmap(common, "k").keep(keyed, "k").join(common, "k", "left_semi")
-    asked = stored(open_lines.select(F.col("first.id").alias("fid"), F.col("first.line").alias("fline"), F.col("k0").alias("g0"), F.col("k1").alias("g1")).distinct())
-    holders = Bitmap(asked, "fid").keep(rows, "id")
-    known = _lines(holders).join(asked, F.col("id").eqNullSafe(F.col("fid")) & (F.col("line") == F.col("fline")))
+    open_lines = Bitmap(common, "k").keep(keyed, "k").join(common, "k")  # a semi-join would be moved before the bitmap
+    asked = stored(open_lines.select(F.col("first.id").alias("fid"), F.col("first.line").alias("fline"), F.col("k0").alias("g0"), F.col("k1").alias("g1"), F.xxhash64("first.id", "first.line").alias("p")).distinct())
+    holders = Bitmap(asked, "fid").keep(rows, "id").unionByName(rows.where("id IS NULL"))
+    lines_there = Bitmap(asked, "p").keep(_lines(holders).withColumn("p", F.xxhash64("id", "line")), "p").drop("p")
+    known = lines_there.join(asked, F.col("id").eqNullSafe(F.col("fid")) & (F.col("line") == F.col("fline")))
     known = known.select("id", "line", "g0", "g1", _hashes(F.col("t")).alias("w")).withColumn("n", F.size("w"))
     known = known.where((_halves()[0] == F.col("g0")) & (_halves()[1] == F.col("g1")))  # ids can repeat
     known = stored(known.dropDuplicates(["g0", "g1"]).drop("g0", "g1"))
     variants = stored(_variants(known))
-    busy = variants.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = stored(variants.join(busy, "key", "left_semi").withColumn("at", place).select("key", "gone", "at"))
+    busy = stored(variants.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    met = stored(Bitmap(busy, "key").keep(variants, "key").join(busy, "key").withColumn("at", place).select("key", "gone", "at"))
     same_gap = met.groupBy("key", "gone").agg(F.min("at").alias("first_gap"))
     either = met.groupBy("key").agg(F.min(F.when(F.col("gone") < 0, F.col("at"))).alias("first_own"), F.min(F.when(F.col("gone") >= 0, F.col("at"))).alias("first_any"))
     seen = met.join(same_gap, ["key", "gone"]).join(either, "key")

@@ -234,7 +234,7 @@ def media_columns(docs: DataFrame, *, bits: int = BITS, key: str = "doc_id", tex
     rows = pick(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("text"))
     key_type = dict(rows.dtypes)["id"]
     texts = rows.select("text")
-    words = rows.sparkSession.sparkContext.broadcast(_shared_digests(texts, bits).dense)
+    words = rows.sparkSession.sparkContext.broadcast(_shared_digests(texts, bits).dense())
     table = stored(_chunk_table(texts, words, bits))
     packs = stored(_packs(rows, words, bits))
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "read_bytes", "read_sha256", "feature"]

@@ -103,7 +103,7 @@ class CountingViterbi:
         if not (self.newline_cuts and self.marks_lead):
             return self.viterbi(MARK + text.replace(" ", MARK))
         found: list[tuple[int, int, float]] = []
-        if "  " in text or MARK in text or "\n " in text or " \n" in text:
+        if text[0] == " " or "  " in text or MARK in text or "\n " in text or " \n" in text:
             for i, line in enumerate(text.split("\n")):
                 if i:
                     found.append(self.heads["\n"])

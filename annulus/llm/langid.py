@@ -110,6 +110,8 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
     languages = sorted(set(counts["lang"]))
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are supported")
+    if len(languages) < 2:
+        return Model(languages, codewords(len(languages)), np.zeros((BUCKETS, 0)), np.ones(0))
     n = np.zeros((len(languages), BUCKETS))
     n[counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=int), counts["bucket"].to_numpy(dtype=int)] = counts["n"].to_numpy()
     share = (n + SMOOTHING) / (n + SMOOTHING).sum(axis=1, keepdims=True)
@@ -121,7 +123,7 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
     margins = share @ weights
     scale = np.abs(margins).mean(axis=0)
     scale[scale == 0] = 1.0
-    trust = np.maximum((margins / scale * code).min(axis=0), 1e-3) if len(languages) > 1 else np.ones(0)
+    trust = np.maximum((margins / scale * code).min(axis=0), 1e-3)
     return Model(languages, code, weights / scale, trust)
 
 

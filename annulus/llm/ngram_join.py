@@ -4,13 +4,14 @@
    n-grams is (count class, hash), rare ones first.  Any fixed order gives right results; this
    one keeps passages that many documents share out of the prefixes.
 2. Classes.  Documents with equal sets are one class, represented by the least id.
-3. Prefixes.  Two sets that reach the threshold share an n-gram among the first
-   n - ceil(t * n) + 1 of each.  Prefix n-grams that only one class has are dropped.
+3. Prefixes.  Two sets that reach the threshold share at least MEET n-grams (or all they need)
+   among the first n - ceil(t * n) + MEET of each; what two prefixes share, and what can follow
+   behind them, bounds the overlap.  Prefix n-grams that only one class has are dropped.
 4. Stars.  In each n-gram's bucket the members are compared with one pivot; the links found
    join components, and a bucket whose members are all in one component is finished.  Groups of
    copies are settled here with as many comparisons as members.
-5. Rest.  In the other buckets every two members of different components are compared, unless
-   sizes or places rule a link out: exact, without a cap.
+5. Rest.  In the other buckets every two members of different components meet, and those whose
+   sizes and shared prefixes allow a link are compared: exact, without a cap.
 6. Prefix tree.  Comparisons of one document are made together: the candidates' ordered sets
    form a prefix tree, kept as sorted arrays with the length of the path that each shares with
    the one before; the overlap of a shared path is counted once, and a path is left when what
@@ -40,6 +41,9 @@ HOT_CLASS = 40  # from 2**20 occurrences on, a bucket's rows are dealt out by do
 GROUP_BYTES = 8 << 20
 CANDIDATES = 128
 STARS = 1
+MEET = 3
+LARGE_BUCKET = 64
+BLOCK_SETS = 512
 _U = np.uint64
 
 
@@ -67,34 +71,32 @@ def order_classes(rows: DataFrame, k: int) -> np.ndarray:
     def blocks(ids, parts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(c.as_buffer(), dtype=np.uint64)
                 sums[i] = sums[i] + part if i in sums else part
-        if sums:
+        return sums
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sums := summed(batches):
             yield blocks(list(sums), list(sums.values()))
 
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sums := summed(batches):
+            yield blocks(list(sums), [np.minimum(126, 2 * np.log2(np.maximum(c, _U(1)))).astype(np.uint8) for c in sums.values()])
+
     schema = "block int, counts binary"
     n = CELLS // BLOCK
     parts = rows.mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     salted = parts.repartition(n, "block", "salt").select("block", "counts").mapInArrow(add, schema)
     classes = np.zeros(CELLS, dtype=np.uint8)
-    for block, counts in salted.repartition(n, "block").mapInArrow(add, schema).mapInArrow(_classes, schema).collect():  # CELLS bytes
+    for block, counts in salted.repartition(n, "block").mapInArrow(classify, schema).collect():  # CELLS bytes
         classes[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(counts, dtype=np.uint8)
     return classes
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = []
-        for c in batch.column(1):
-            counts = np.frombuffer(c.as_buffer(), dtype=np.uint64)
-            made.append(np.minimum(126, 2 * np.log2(np.maximum(counts, _U(1)))).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["block", "counts"])
-
-
 def prefixes(rows: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
     """(id, n, s1, s2, tokens) of every row: set size, signature, ordered prefix.
 
@@ -115,7 +117,7 @@ def prefixes(rows: DataFrame, k: int, percent: int, classes: np.ndarray) -> Data
                     two.append(int(np.bitwise_xor.reduce(mix(u ^ _U(0x5851F42D4C957F2D))).astype(np.int64)) if n else 0)
                     token = (classes[(u & _U(CELLS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (u >> _U(8))
                     token.sort()
-                    tokens.append(token[: n - -(-percent * n // 100) + 1 if n else 0].astype(np.int64))
+                    tokens.append(token[: n - -(-percent * n // 100) + MEET if n else 0].astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(size)), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
                     names=["id", "n", "s1", "s2", "tokens"],
@@ -156,19 +158,118 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, rows.schema)
 
 
-def _possible(percent: int) -> Column:
-    """Whether rows x and y of one bucket can reach the threshold, by their sizes and places."""
-    x, y = F.col("n"), F.col("m")
-    small, large = F.least(x, y), F.greatest(x, y)
-    reach = F.least(x - F.col("pos"), y - F.col("qos"))
-    return (100 * small >= percent * large) & ((100 + percent) * reach >= percent * (x + y))
+def _meetings(left: DataFrame, right: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b, x, y, reach) for members of one bucket, of different components, whose sizes allow a link.
+
+    right has columns token, q, m, qos and d.  a is the smaller id, x and y are the sizes; reach
+    bounds the overlap if the bucket's n-gram is the first that both have.
+    """
+    meet = (F.col("id") < F.col("q")) if every else (F.col("id") != F.col("q"))
+    both = left.join(right, "token").where(meet & (F.col("comp") != F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    swap = F.col("id") > F.col("q")
+    return both.select(
+        F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("x"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("y"), F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")).alias("reach")
+    )
+
+
+def _need_of(percent: int) -> Column:
+    return F.ceil((F.col("x") + F.col("y")) * percent / (100 + percent))
+
 
+def _star_pairs(active: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Members and their bucket's pivot, unless the sizes or the places in the order rule a link out."""
+    return _meetings(active, pivots, percent, False).where(F.col("reach") >= _need_of(percent)).select("a", "b").distinct()
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Distinct (a, b) of rows of one bucket, a the smaller id; right has columns token, q, m, qos, d."""
-    both = left.join(right, "token").where((F.col("comp") != F.col("d")) & _possible(percent))
-    both = both.where("id < q") if every else both
-    return both.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
+
+def _behind(n: str, percent: int) -> Column:
+    """How many n-grams of a set stand behind its prefix.
+
+    What two sets share beyond their prefixes stands, in the one whose prefix ends earlier in
+    the order, behind it; which one that is isn't known here, so the larger number counts.
+    """
+    return F.greatest(F.lit(0), F.ceil(F.col(n) * percent / 100) - MEET)
+
+
+def _rest_pairs(active: DataFrame, percent: int) -> DataFrame:
+    """Every pair of different components, unless what the prefixes share can't be enough.
+
+    In small buckets members meet by a join, and the buckets in which a pair meets are counted.
+    Members of large buckets are dealt into blocks, in which their shared n-grams are counted
+    at once.  Either count is short of the other kind's n-grams by no more than the set with
+    fewer of them has, so no pair is missed.
+    """
+    sized = active.join(active.groupBy("token").agg((F.count("*") > LARGE_BUCKET).alias("large")), "token")
+    sized = stored(sized)
+    sets = stored(sized.groupBy("id", "n", "comp").agg(F.count_if(~F.col("large")).alias("small"), F.array_sort(F.collect_list(F.when(F.col("large"), F.col("token")))).alias("tokens")))
+    few = sized.where(~F.col("large"))
+    other = few.select("token", F.col("id").alias("q"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("comp").alias("d"))
+    met = _meetings(few, other, percent, True).groupBy("a", "b", "x", "y").agg(F.count("*").alias("c"))
+    in_large = sets.where(F.size("tokens") > 0)
+    more = in_large.select("id", F.size("tokens").alias("t"))
+    met = met.join(more.withColumnsRenamed({"id": "a", "t": "ta"}), "a", "left").join(more.withColumnsRenamed({"id": "b", "t": "tb"}), "b", "left").na.fill(0, ["ta", "tb"])
+    near = met.where(F.col("c") + F.least("ta", "tb") + F.greatest(_behind("x", percent), _behind("y", percent)) >= _need_of(percent)).select("a", "b")
+    return near.unionByName(_block_pairs(sized.where("large"), in_large, percent)).distinct()
+
+
+def _block_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets (id, n, comp, small, tokens) that share tokens of large buckets.
+
+    Sets that meet in large buckets form clusters; a cluster is dealt into blocks of about
+    BLOCK_SETS, and every two blocks meet in a task of their own.
+    """
+    pivots = rows.groupBy("token").agg(F.min("id").alias("b"))
+    clusters = components(rows.join(pivots, "token").select(F.col("id").alias("a"), "b").distinct())
+    placed = sets.join(clusters.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster")
+    sizes = placed.groupBy("cluster").agg((F.floor(F.count("*") / BLOCK_SETS) + 1).alias("blocks"))
+    placed = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    meet = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meet = meet.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    ordered = meet.select("cluster", "i", "j", "block", "id", "n", "comp", "small", "tokens").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != now:
+                    if held:
+                        yield _block_batch(now, held, percent)
+                    now, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield _block_batch(now, held, percent)
+
+    return ordered.mapInArrow(run, "a bigint, b bigint")
+
+
+def _block_batch(key: tuple, held: list[tuple], percent: int) -> pa.RecordBatch:
+    """The pairs of two blocks (or within one) whose counts and sizes allow a link."""
+    first = [r for r in held if r[0] == key[1]]
+    second = [r for r in held if r[0] == key[2]]
+
+    def column(rows: list[tuple], i: int) -> np.ndarray:
+        return np.array([r[i] for r in rows], dtype=np.int64)
+
+    def behind(n: np.ndarray) -> np.ndarray:
+        return np.maximum(0, -(-n * percent // 100) - MEET)
+
+    places = {t: i for i, t in enumerate(sorted({t for r in first for t in r[5]} & {t for r in second for t in r[5]}))}
+    common = np.zeros((len(first), len(second)), dtype=np.int64)
+    for lo in range(0, len(places), 4096):
+        marks = []
+        for rows in (first, second):
+            m = np.zeros((len(rows), 4096), dtype=np.float32)
+            for i, r in enumerate(rows):
+                at = [places[t] - lo for t in r[5] if t in places and lo <= places[t] < lo + 4096]
+                m[i, at] = 1
+            marks.append(m)
+        common += (marks[0] @ marks[1].T).astype(np.int64)
+    (ia, na, ca, sa), (ib, nb, cb, sb) = (tuple(column(rows, i) for i in (1, 2, 3, 4)) for rows in (first, second))
+    need = -(-percent * (na[:, None] + nb[None, :]) // (100 + percent))
+    reach = common + np.minimum(sa[:, None], sb[None, :]) + np.maximum(behind(na)[:, None], behind(nb)[None, :])
+    fits = (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])) & (common > 0)
+    x, y = np.nonzero(fits & (reach >= need) & (ca[:, None] != cb[None, :]) & ((ia[:, None] < ib[None, :]) if key[1] == key[2] else True))
+    a, b = ia[x], ib[y]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -180,8 +281,8 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     counted = pairs.groupBy("a").agg(F.count("*").alias("c"))
     dealt = pairs.join(counted, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("c") / CANDIDATES) + 1).alias("part"))
     dealt = stored(dealt)
-    named = dealt.select(F.col("a").alias("id")).unionByName(dealt.select(F.col("b").alias("id"))).distinct()
-    texts = Bitmap(named, "id").keep(rows, "id").join(named, "id", "left_semi")
+    named = dealt.select(F.col("a").alias("id")).unionByName(dealt.select(F.col("b").alias("id")))
+    texts = Bitmap(named, "id").keep(rows, "id")
     asked = dealt.select("a", "part").distinct().withColumn("b", F.lit(None).cast("long")).withColumn("id", F.col("a"))
     members = asked.unionByName(dealt.withColumn("id", F.col("b"))).join(texts, "id").select("a", "part", "b", "text")
     grouped = members.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -265,11 +366,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, key: s
     for turn in range(STARS + 1):
         if turn < STARS:  # compare with one pivot of each bucket: the least id, then one drawn by hash
             rank = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("first"), "id", "n", "pos", "comp")
-            other = active.groupBy("token").agg(F.min(rank).alias("p"))
-            other = other.select("token", F.col("p.id").alias("q"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos"), F.col("p.comp").alias("d"))
+            pivots = active.groupBy("token").agg(F.min(rank).alias("p"))
+            pivots = pivots.select("token", F.col("p.id").alias("q"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos"), F.col("p.comp").alias("d"))
+            pairs = _star_pairs(active, pivots, percent)
         else:
-            other = active.select("token", F.col("id").alias("q"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("comp").alias("d"))
-        found = verified(_pairs(active, other, percent, turn == STARS), rows, k, percent)
+            pairs = _rest_pairs(active, percent)
+        found = verified(pairs, rows, k, percent)
         links = stored(links.unionByName(found))
         labels = stored(components(links))
         if turn < STARS:

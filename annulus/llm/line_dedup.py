@@ -129,9 +129,10 @@ def kept_places(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     return every.join(gone, F.col("first").eqNullSafe(F.col("at")), "left_anti").select("first.id", "first.line")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text replaced by the lines that stay, joined by line feeds, and two columns more:
-    `n_lines` and `n_kept_lines`.
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", counts: bool = True, chars: str | None = None) -> DataFrame:
+    """docs with text replaced by the lines that stay, joined by line feeds, and two columns more
+    unless `counts` is off: `n_lines` and `n_kept_lines`.  A column `chars`, if docs has it, gets
+    the new text's length.
 
     Lines of fewer words always stay.  A null text stays null, with 0 lines; an empty one is
     one empty line.  Rows that repeat a key are copies of one document and keep the same places;
@@ -149,6 +150,10 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     joined = joined.withColumn("__lines", F.split(text_at, "\n", -1))
     stays = F.filter("__lines", lambda t, i: ~_takes_part(t, min_words) | F.coalesce(F.substring("__marks", i + 1, F.lit(1)) == F.lit(b"1"), F.lit(False)))
     joined = joined.withColumn("__kept", stays)
-    out = [F.array_join("__kept", "\n").alias(c) if c == text_at else F.col(c) for c in inner]
-    counts = [F.coalesce(F.size(c), F.lit(0)).cast("long") for c in (F.col("__lines"), F.col("__kept"))]
-    return joined.select(*out, F.greatest(counts[0], F.lit(0)).alias("__n"), F.greatest(counts[1], F.lit(0)).alias("__k")).toDF(*names, "n_lines", "n_kept_lines")
+    joined = joined.withColumn("__text", F.array_join("__kept", "\n"))
+    new = {text_at: F.col("__text")} | ({f"c{names.index(chars)}": F.length("__text").cast("long")} if chars in names else {})
+    out = [new.get(c, F.col(c)).alias(c) for c in inner]
+    if not counts:
+        return joined.select(*out).toDF(*names)
+    found = [F.coalesce(F.size(c), F.lit(0)).cast("long") for c in (F.col("__lines"), F.col("__kept"))]
+    return joined.select(*out, F.greatest(found[0], F.lit(0)).alias("__n"), F.greatest(found[1], F.lit(0)).alias("__k")).toDF(*names, "n_lines", "n_kept_lines")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from annulus.llm import bpe, line_dedup, mixing, ngram_join, quality
 from annulus.llm.common import stored, table
@@ -17,8 +16,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document or line has go from the texts; every document stays."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return line_dedup.dedup_lines(docs, counts=False, chars="n_chars")
 
 
 def group_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,7 +165,8 @@ def test_escapes_are_taken_back(spark):
     assert back == {i: [("user", t), ("assistant", t), (t, t), ("assistant", t)] for i, t in enumerate(TRICKY)}
     whole = {r.conv_id: r.formatted for r in out.collect()}
     for r in chat.loss_spans(out).collect():
-        assert r.turn in (1, 3) and "<|im_" not in whole[r.conv_id][r.begin : r.end]
+        span = whole[r.conv_id][r.begin : r.end]
+        assert r.turn in (1, 3) and chat.START not in span and chat.END not in span and whole[r.conv_id][r.end :].startswith(chat.END)
 
 
 @settings(max_examples=25, deadline=None)

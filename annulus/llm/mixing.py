@@ -70,7 +70,8 @@ def copies(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: floa
     at = dealt.withColumn("row", F.row_number().over(within)).join(shifts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     at = at.join(goal, F.col("source").eqNullSafe(F.col("g"))).withColumn("rank", F.col("shift") + F.col("row"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))))
+    offset = F.conv(F.substring(drawn, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
     taken = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
     return at.select("doc_id", "size", "source_size", "target", F.least(taken, F.ceil(F.lit(float(most)))).cast("long").alias("copies"))
 

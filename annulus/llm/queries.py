@@ -104,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Words as everywhere: runs of other characters than the six blanks.
 _WORDS = "list_filter(str_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+BACK = "\\"
+_ESCAPED = "regexp_replace({}, '([<\\[])(\\\\*)(\\|im_start\\|>|\\|im_end\\|>|/?s>|/?INST\\]|<SYS>>|</SYS>>)', '\\1\\\\\\2\\3', 'g')"
+
 SQL: dict[str, str] = {
     "op2_line_dedup": f"""
 WITH split AS (
@@ -131,5 +134,37 @@ WITH split AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(s.ls) END::BIGINT AS n_lines,
   CASE WHEN d.text IS NULL THEN 0 ELSE coalesce(t.k, 0) END::BIGINT AS n_kept_lines, sha256(coalesce(t.t, '')) AS kept_sha256
 FROM documents d JOIN split s USING (doc_id) LEFT JOIN texts t USING (doc_id)
+""",
+    "op7_chat_formatting": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), sized AS (
+  SELECT *, 12 + length({_ESCAPED.format("replace(replace(role, '" + BACK + "', '" + BACK * 2 + "'), chr(10), '" + BACK + "n')")}) + 1 + length({_ESCAPED.format("text")}) + 11 AS chars FROM turns
+), folded AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM folded
+""",
+    "op9_mixing": f"""
+WITH sizes AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+ranked AS (
+  SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM totals
+), levels AS (
+  SELECT *, cap / weight AS fill, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER f, 0)) / sum(weight) OVER g AS level FROM ranked
+  WINDOW f AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    g AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), goal AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, (fill, level)) FROM levels WHERE level * weight <= cap) * weight, cap)) AS target,
+    ('0x' || substr(md5('17:' || coalesce('s' || source, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS shift FROM levels
+), placed AS (
+  SELECT s.*, source_size, target, shift, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY s.source ORDER BY size DESC, doc_id NULLS LAST) AS k
+  FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, (least(floor(k * rate + shift) - floor((k - 1) * rate + shift), 2) * size)::BIGINT AS taken FROM placed
 """,
 }

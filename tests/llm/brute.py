@@ -20,7 +20,7 @@ def h64(*values):
     """Spark's xxhash64 over strings and longs."""
     seed = 42
     for v in values:
-        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        raw = v.encode() if isinstance(v, str) else struct.pack("<q", v)
         seed = xxhash.xxh64(raw, seed=seed).intdigest()
     return seed - (1 << 64) if seed >> 63 else seed
 
@@ -146,7 +146,7 @@ def copies(docs, seed=17):
     for s in sizes:
         own = sorted((d for d in docs if d[2] == s), key=lambda d: (-len(words(d[1])), d[0]))
         rate = goal[s] / sizes[s] if sizes[s] else 0.0
-        offset = (h64((seed,), f"s{s}" if s is not None else "null") % (1 << 52)) / float(1 << 52)
+        offset = int(hashlib.md5(f"{seed}:{'null' if s is None else 's' + s}".encode()).hexdigest()[:12], 16) / float(1 << 48)
         for n, d in enumerate(own, 1):
             out[d[0]] = min(2, math.floor(n * rate + offset) - math.floor((n - 1) * rate + offset))
     return [out[d[0]] for d in docs]

@@ -66,7 +66,7 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> int:
     done = done.withColumn("sources", F.when(F.col("labels").isNotNull(), F.transform_values("labels", lambda k, v: F.when(F.col("class") == "MATCHED", "live").otherwise("export"))))
     orphans = done.where("class = 'ORPHAN'")
     cutover = labels.effective_cutover(entries, snapshot.cutover_sec if snapshot else None)
-    nodes = routes = scheduled = values = None
+    nodes = routes = scheduled = None
     if a.inventory_url and not a.no_rest:
         password = open(a.inventory_password_file, encoding="utf-8").read().strip() if a.inventory_password_file else os.environ.get("ANNULUS_INVENTORY_PASSWORD", "")
         if not password:
@@ -81,6 +81,11 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> int:
         prefer = config.prefer_descr if config else False
         scheduled = labels.scheduled(placed, interfaces, prefer_descr=prefer, sanitize=not (config and config.keep_names)).withColumn("scheduled", F.lit(True))
     resolved = _resolved(orphans, config, live, routes, nodes, spark)
+    if config and config.expose_categories:
+        hits = None
+        if routes is not None:
+            hits = orphans.select("file", "ds", "resource").join(routes.where("state = 'HIT'"), "resource").join(nodes.select("id", F.col("categories").alias("names")), F.col("node_id") == F.col("id"))
+        resolved = labels.with_categories(resolved, labels.resolve_categories(orphans, live, hits))
     joined = orphans.drop("labels", "sources", "unresolved").join(resolved, ["file", "ds"])
     joined = joined.join(scheduled, "resource", "left") if scheduled is not None else joined.withColumn("scheduled", F.lit(False))
     joined = joined.join(routes.select("resource", (F.col("state") == "GONE").alias("gone")), "resource", "left") if routes is not None else joined.withColumn("gone", F.lit(False))
@@ -88,7 +93,8 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> int:
     names = ["file", "resource", "ds", "mtype", "class", "labels", "n_samples", "oldest", "note", "sources", "unresolved"]
     every = done.where("class <> 'ORPHAN'").select(*names, "candidates").unionByName(judged.select(*names, F.lit(None).cast("array<string>").alias("candidates"))).cache()
     out = every.withColumn("samples", F.col("n_samples")).withColumn("candidates", F.transform("candidates", lambda c: F.create_map(F.lit("labels"), c)))
-    documents.write_plan({"rrd_dir": a.rrd_dir, "created": int(time.time()), "cutover": cutover}, labels.order_entries(out), a.out)
+    hashed = labels.config_hash(config.table(spark), config.expose_categories).first()[0] if config else None
+    documents.write_plan({"rrd_dir": a.rrd_dir, "created": int(time.time()), "cutover": cutover, "config_hash": hashed}, labels.order_entries(out), a.out)
     _lines(a.orphans, verify.orphan_resources(every))
     _lines(a.not_migrated, verify.not_migrated_list(every).unionByName(skipped.select(F.lit("SKIPPED").alias("class"), F.col("file").alias("what"), F.lit(None).cast("string").alias("ds"), F.col("reason").alias("note"))), "class\tresource\tds\tnote")
     if a.report:
@@ -138,6 +144,13 @@ def backfill(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.threads < 1 or a.batch_samples < 1 or a.max_retries < 0 or a.rate < 0 or a.canary < 0:
         raise Usage("counts must be positive")
     header, entries = documents.read_plan(spark, a.plan)
+    if header.get("config_hash") and not a.skip_config_check:
+        if not a.home:
+            raise Usage("--home is needed to check the tag configuration, or --skip-config-check")
+        config = documents.TagConfig.load(a.home)
+        if labels.config_hash(config.table(spark), config.expose_categories).first()[0] != header["config_hash"]:
+            print("the tag configuration has changed since the plan", file=sys.stderr)
+            return 1
     backend, state = rw.Backend(a.write_url, a.read_url, a.org_id), os.path.join(a.state_dir, "state.jsonl")
 
     def guard(turn: str) -> None:
@@ -253,7 +266,9 @@ def parser() -> argparse.ArgumentParser:
     p = verb("backfill", backfill, link, read)
     p.add_argument("--plan", required=True)
     p.add_argument("--state-dir", default=".")
-    p.add_argument("--retry-failed", action="store_true")
+    p.add_argument("--home")
+    for name in ("--retry-failed", "--skip-config-check"):
+        p.add_argument(name, action="store_true")
     p.add_argument("--rate", type=float, default=20_000)
     for name, default in (("--threads", 4), ("--batch-samples", 2000), ("--max-retries", 5), ("--canary", 50)):
         p.add_argument(name, type=int, default=default)

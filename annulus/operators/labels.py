@@ -145,6 +145,42 @@ def category_labels(names: Column) -> Column:
     return F.map_concat(each, F.create_map(F.lit("categories"), F.array_join(F.array_sort(names), ",")))
 
 
+def resolve_categories(orphans: DataFrame, index: DataFrame, node_categories: DataFrame | None = None) -> DataFrame:
+    """(file, ds, categories, category_source): the category labels of orphans.
+
+    The first level that has siblings decides, if their category labels are all the same; else
+    the node's categories count (node_categories: file, ds, names, node_id); else NULL, which
+    is unresolved.
+    """
+    live = index.where(F.contains("resource_id", F.lit("/")))
+    levels = F.array(*(F.struct(F.lit(x).alias("level"), _level_key(x, F.col("resource_id")).alias("place")) for x in LEVELS))
+    own = F.map_filter("labels", lambda k, v: is_category(k))
+    placed = live.select("resource_id", own.alias("m"), S.canonical(own).alias("c"), F.explode(levels).alias("l")).select("resource_id", "m", "c", "l.level", "l.place")
+    grouped = placed.groupBy("level", "place").agg(F.count_distinct("c").alias("n"), F.max_by("m", "c").alias("m"), F.min("resource_id").alias("first"))
+    asked = orphans.select("file", "ds", "resource").select("*", F.posexplode(levels_of(F.lit("NODE"), F.col("resource"))).alias("rank", "level"))
+    place = F.when(F.col("level") == "resource", F.col("resource")).when(F.col("level") == "directory", S.dir_of(F.col("resource"))).otherwise(S.node_prefix(F.col("resource")))
+    deciding = asked.withColumn("place", place).join(grouped, ["level", "place"]).groupBy("file", "ds").agg(F.min_by(F.struct("n", "m", "first"), "rank").alias("at"))
+    agreed = deciding.where("at.n = 1").select("file", "ds", F.col("at.m").alias("agreed"), F.concat(F.lit("sibling:"), F.col("at.first")).alias("sibling"))
+    out = orphans.select("file", "ds").join(agreed, ["file", "ds"], "left")
+    if node_categories is None:
+        return out.select("file", "ds", F.col("agreed").alias("categories"), F.col("sibling").alias("category_source"))
+    named = node_categories.select("file", "ds", category_labels(F.col("names")).alias("own"), F.concat(F.lit("rest:node/"), F.col("node_id")).alias("node"))
+    return out.join(named, ["file", "ds"], "left").select("file", "ds", F.coalesce("agreed", "own").alias("categories"), F.coalesce("sibling", "node").alias("category_source"))
+
+
+def with_categories(resolved: DataFrame, categories: DataFrame) -> DataFrame:
+    """resolved() with category labels added, or `categories` among the unresolved."""
+    both = resolved.join(categories, ["file", "ds"], "left")
+    empty = F.create_map().cast("map<string,string>")
+    found = F.coalesce("categories", empty)
+    free = F.map_filter("labels", lambda k, v: ~is_category(k))
+    kept = F.map_filter("sources", lambda k, v: ~is_category(k))
+    return both.select(
+        "file", "ds", F.map_concat(free, found).alias("labels"), F.map_concat(kept, F.transform_values(found, lambda k, v: F.col("category_source"))).alias("sources"),
+        F.when(F.col("categories").isNull(), F.array_append("unresolved", F.lit("categories"))).otherwise(F.col("unresolved")).alias("unresolved"),
+    )
+
+
 def node_criteria(resource: Column) -> Column:
     """How a resource's node is asked for: ip:<address>, fs:fid, a number, or NULL for an alias."""
     part = lambda i: F.get(F.split(resource, "/"), i)

@@ -45,7 +45,8 @@ def test_everything(spark, world, capsys):
     links = ["--write-url", fake.url + "/w", "--read-url", fake.url]
     state = ["--plan", top / "plan", "--state-dir", top]
     assert run(spark, "verify", *state, *links, "--all") == 1
-    assert run(spark, "backfill", *state, *links, "--rate", 0, "--canary", 0) == 0
+    assert run(spark, "backfill", *state, *links, "--rate", 0, "--canary", 0) == 64
+    assert run(spark, "backfill", *state, *links, "--rate", 0, "--canary", 5, "--home", top / "home") == 0
     orphan = next(dict(k) for k in fake.data if dict(k)["__name__"] == "temp")
     assert orphan == {"__name__": "temp", "resourceId": "snmp/1/eth0/idle", "mtype": "gauge", "node": "n1", "zone": "z1"}
     assert run(spark, "verify", *state, *links, "--all") == 0
@@ -56,7 +57,9 @@ def test_everything(spark, world, capsys):
     assert "sibling:" in capsys.readouterr().out
     assert run(spark, "explain", "--plan", top / "plan", "--resource", "nothing") == 1
     fake.answers = [503] * 50
-    assert run(spark, "backfill", "--plan", top / "plan", "--state-dir", top / "home", *links, "--rate", 0, "--max-retries", 0, "--canary", 0) == 2
+    assert run(spark, "backfill", "--plan", top / "plan", "--state-dir", top / "home", *links, "--rate", 0, "--max-retries", 0, "--canary", 0, "--skip-config-check") == 2
+    (top / "home/etc/x.properties").write_text("metatags.node=other\n")
+    assert run(spark, "backfill", *state, *links, "--home", top / "home") == 1
 
 
 def test_snapshot_and_preflight(spark, world):

@@ -173,5 +173,7 @@ def kept(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str
     rows = docs.toDF(*inner)
     text_at = f"c{names.index(text)}"
     ratios = log_ratios(docs, trusted, key=key, text=text, buckets=options.get("buckets", BUCKETS))
-    judged = verdicts(rows, ratios, text_at, **options)
-    return judged.where("kept").select(*inner).toDF(*names)
+    # a filter moves below deterministic projections and would compute the hashes again in each
+    # of its terms; one that reads a row number stays where it is
+    judged = verdicts(rows, ratios, text_at, **options).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("kept AND __row >= 0").select(*inner).toDF(*names)

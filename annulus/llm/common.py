@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cached_property
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 _LOCAL: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,22 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a local one only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="annulus-"))
+        base = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="annulus-"))
     return f"{base.rstrip('/')}/annulus-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again.
 
-    The files live there until the folder is emptied: later reads, also after the loss of any
-    executor, depend on nothing else.
+    The files live there until clear(): later reads, also after the loss of any executor, depend
+    on nothing else.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that stored() has written for this application; results read from it must be done."""
+    jvm = spark.sparkContext._jvm
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Bitmap:
     """A Bloom filter with one hash over a long or string key, of a fixed number of bits.
 

@@ -241,6 +241,13 @@ def test_bitmap_misses_nothing(spark):
         assert set(range(0, 5000, 7)) <= kept and (bits < 100 or len(kept) < 1500)
 
 
+def test_clear_deletes_what_was_stored(spark):
+    path = common.stored(spark.range(3)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.clear(spark)
+    assert not os.path.exists(path)
+
+
 def test_pick_takes_exact_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "text int, Text int, `te.xt` int")
     assert common.pick(df, "te.xt", "text").first()[:] == (3, 1)

@@ -66,22 +66,25 @@ def order_classes(rows: DataFrame, k: int) -> np.ndarray:
                 found = [*shingles(data, offsets, k)]
                 np.add.at(total, (np.concatenate(found) & _U(CELLS - 1)).astype(np.int64), _U(1))
         if total.any():
-            yield blocks(range(CELLS // BLOCK), total.reshape(-1, BLOCK))
+            yield blocks(range(CELLS // BLOCK), narrow(total).reshape(-1, BLOCK))
 
     def blocks(ids, parts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
 
+    def narrow(counts: np.ndarray) -> np.ndarray:
+        return np.minimum(counts, _U((1 << 32) - 1)).astype(np.uint32)  # beyond that, the order is by hash
+
     def summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(c.as_buffer(), dtype=np.uint64)
+                part = np.frombuffer(c.as_buffer(), dtype=np.uint32).astype(np.uint64)
                 sums[i] = sums[i] + part if i in sums else part
         return sums
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sums := summed(batches):
-            yield blocks(list(sums), list(sums.values()))
+            yield blocks(list(sums), [narrow(c) for c in sums.values()])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sums := summed(batches):

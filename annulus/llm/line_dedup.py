@@ -1,12 +1,14 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line takes part if it has at least five words.  Its edit distance to another is counted in
-words, the bound is one word put in, left out or replaced.  A line goes if an earlier one, by
-(doc_id, line number), lies within the bound; the earliest stays.
+A line takes part if it has a word.  It goes if an earlier one, by (doc_id, line number), has the
+same words; from five words on, also if an earlier one of five words or more lies within the
+bound: edits are counted in words, the bound is one word put in, left out or replaced.  The
+earliest stays.
 
-1. Equal lines (equal words) are one, found by the hashes of both halves and a minimum over places.
+1. Equal lines (equal words) are one, found by the hashes of both halves and a minimum over
+   places; shorter lines by a second hash of their words besides.
 2. Two lines within the bound agree exactly on their first or on their last half.  Only lines
-   that share a half with another line can have a neighbour; the others are done.
+   of five words or more that share a half with another can have a neighbour; the others are done.
 3. Those emit their deletion neighbourhood as hashed keys: the line itself and the line
    without each of its words, with the place left out.  The hash is an XOR over (word, place),
    so each key costs a running value and not a copy of the line.
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import Bitmap, let, pick, stored
 from .quality import spaced
 
+#: Of lines that are compared within the bound; equal lines go whatever their length.
 MIN_WORDS = 5
 _BLANK, _SOLID = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 _RUN = 16
@@ -40,7 +43,11 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _hashes(line: Column) -> Column:
-    return F.transform(F.filter(F.split(line, " ", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(_words(line), lambda w: F.xxhash64(w))
+
+
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, " ", -1), lambda w: w != "")
 
 
 def _halves() -> list[Column]:
@@ -98,14 +105,17 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def kept_places(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, line): the places of the lines that take part and stay."""
+    """(id, line): the places of the lines that take part and stay; `min_words` bounds the inexact comparison alone."""
     rows = pick(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    lines = _lines(rows).where(_takes_part(F.col("t"), min_words)).select("id", "line", _hashes(F.col("t")).alias("w"))
+    lines = _lines(rows).where(_takes_part(F.col("t"), min(1, min_words))).select("id", "line", "t", _hashes(F.col("t")).alias("w"))
     lines = lines.withColumn("n", F.size("w"))
     place = F.struct("id", "line")
-    halves = [h.alias(f"k{i}") for i, h in enumerate(_halves())]
+    long, (k0, k1, k2, k3) = F.col("n") >= min_words, _halves()
+    # a half of a short line may be a single word's hash; k3 is null for these lines alone
+    second = F.xxhash64(F.lit(3), _words(F.col("t")))
+    halves = [k0.alias("k0"), k1.alias("k1"), F.when(long, k2).otherwise(second).alias("k2"), F.when(long, k3).alias("k3")]
     every = stored(lines.select("id", "line", *halves).groupBy("k0", "k1", "k2", "k3").agg(F.min(place).alias("first")))
-    keyed = every.select("k0", "k1", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    keyed = every.where("k3 IS NOT NULL").select("k0", "k1", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     common = stored(keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
     open_lines = Bitmap(common, "k").keep(keyed, "k").join(common, "k")  # a semi-join would be moved before the bitmap
     asked = stored(open_lines.select(F.col("first.id").alias("fid"), F.col("first.line").alias("fline"), F.col("k0").alias("g0"), F.col("k1").alias("g1"), F.xxhash64("first.id", "first.line").alias("p")).distinct())
@@ -134,7 +144,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     unless `counts` is off: `n_lines` and `n_kept_lines`.  A column `chars`, if docs has it, gets
     the new text's length.
 
-    Lines of fewer words always stay.  A null text stays null, with 0 lines; an empty one is
+    Lines without a word always stay; lines of fewer than `min_words` words go only as exact
+    repeats (equal words) of an earlier one.  A null text stays null, with 0 lines; an empty one is
     one empty line.  Rows that repeat a key are copies of one document and keep the same places;
     rows with a null key are one document before all others.  Equal lines inside one document
     are duplicates too.  The other columns pass unchanged; an empty table gives no rows.
@@ -148,7 +159,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     id_at, text_at = (f"c{names.index(n)}" for n in (key, text))
     joined = docs.toDF(*inner).join(marks.hint("shuffle_hash"), F.col(id_at).eqNullSafe(F.col("__id")), "left")
     joined = joined.withColumn("__lines", F.split(text_at, "\n", -1))
-    stays = F.filter("__lines", lambda t, i: ~_takes_part(t, min_words) | F.coalesce(F.substring("__marks", i + 1, F.lit(1)) == F.lit(b"1"), F.lit(False)))
+    stays = F.filter("__lines", lambda t, i: ~_takes_part(t, min(1, min_words)) | F.coalesce(F.substring("__marks", i + 1, F.lit(1)) == F.lit(b"1"), F.lit(False)))
     joined = joined.withColumn("__kept", stays)
     joined = joined.withColumn("__text", F.array_join("__kept", "\n"))
     new = {text_at: F.col("__text")} | ({f"c{names.index(chars)}": F.length("__text").cast("long")} if chars in names else {})

@@ -10,8 +10,9 @@ The method then looks for identifiers that no expression knows.  Entities (base
 other runs with at least four digits) and the two words before them form a bipartite graph of
 instances and lexical patterns.  Base entities are the seeds with score 1; a pattern's score is
 the smoothed share of its instances' scores, an instance's score the noisy-or of its patterns',
-for a fixed number of rounds.  Unknown instances behind patterns of high score and support
-become spans of kind `id`.
+for a fixed number of rounds.  A pattern of high score is accepted if enough of its instances
+are sure: seeds, or found by a pattern that an earlier round accepted.  Unknown instances behind
+accepted patterns become spans of kind `id`.
 """
 
 from __future__ import annotations
@@ -106,15 +107,16 @@ def _new_spans(scan: DataFrame, rounds: int, least_score: float, least_seeds: in
     covered = (F.coalesce(past, F.lit(0)) > F.col("start")) | (F.coalesce(ahead, F.col("end")) < F.col("end"))
     free = stored(spans.withColumn("covered", covered).where(known | ~F.col("covered")).where("context IS NOT NULL").drop("covered"))
     edges = stored(free.groupBy("context", "instance").agg(F.count("*").alias("w"), F.max(F.when(known, 1.0).otherwise(0.0)).alias("seed")))
-    scores = edges.groupBy("instance").agg(F.max("seed").alias("score"))
+    scores = edges.groupBy("instance").agg(F.max("seed").alias("score"), (F.max("seed") > 0).alias("sure"))
+    accepted = (F.col("p") >= least_score) & (F.col("support") >= least_seeds)
     for _ in range(rounds):
         patterns = edges.join(scores, "instance").groupBy("context").agg(
-            (F.sum(F.col("w") * F.col("score")) / (F.sum("w") + SMOOTHING)).alias("p"), F.sum("seed").alias("seeds")
+            (F.sum(F.col("w") * F.col("score")) / (F.sum("w") + SMOOTHING)).alias("p"), F.count_if("sure").alias("support")
         )
         doubt = F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.999))))
-        scores = edges.join(patterns, "context").groupBy("instance").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score"))
-    sure = stored(patterns.where((F.col("p") >= least_score) & (F.col("seeds") >= least_seeds)).select("context"))
-    found = free.where("kind = 4").join(sure, "context", "left_semi")
+        scores = edges.join(patterns, "context").groupBy("instance").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score"), F.max((F.col("seed") > 0) | accepted).alias("sure"))
+    chosen = stored(patterns.where(accepted).select("context"))
+    found = free.where("kind = 4").join(chosen, "context", "left_semi")
     return found.select("id", "same", "start", "kind", "end").distinct()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, line_dedup, media, mixing, ngram_join, pii, quality, token_counts
@@ -44,15 +44,24 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """Stored turns as a log: each row is a message of its own, opened, with its text as one delta.
+
+    Rows of one turn stand by role and text; null turns come last, as in the SQL.  Rows are
+    numbered within their turn, so a long conversation is spread over its turns.
+    """
+    row = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
+    message = F.struct(F.col("turn").isNull().alias("last"), "turn", row.alias("row"))
+    events = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate([("message", F.lit("")), ("delta", F.col("text"))])))
+    return turns.withColumn("message", message).select("conv_id", "message", "role", F.explode(events).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "role", "e.text")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = rows.unionByName(extra)
-    # a stored turn is a message that was streamed: it is opened, and its text arrives as one delta
-    opened = turns.select("conv_id", F.col("turn").alias("message"), (2 * F.col("turn")).alias("seq"), F.lit("message").alias("kind"), "role", F.lit("").alias("text"))
-    streamed = turns.select("conv_id", F.col("turn").alias("message"), (2 * F.col("turn") + 1).alias("seq"), F.lit("delta").alias("kind"), "role", "text")
-    back = chat.read_back(chat.format_chats(opened.unionByName(streamed)))
+    back = chat.read_back(chat.format_chats(streamed(turns)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(chat.loss_texts(F.col("turns")), "")
     return back.select(

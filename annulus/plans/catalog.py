@@ -119,8 +119,8 @@ def wrap_aware_delta(spark, d):
 @query
 def ring_unroll(spark, d):
     own = Window.partitionBy("file").orderBy("ts", "event_id")
-    slots = _samples(spark, d).withColumn("slot", F.row_number().over(own) - 1).where("slot < 24")
-    return slots.select("file", "slot", kernel.ring_row(F.col("slot"), F.lit(7), F.lit(24)).alias("row"), "cents")
+    slots = _samples(spark, d).withColumn("slot", F.row_number().over(own) - 1)  # of ring slot div 24
+    return slots.select("file", "slot", kernel.ring_row(F.col("slot") % 24, F.lit(7), F.lit(24)).alias("row"), "cents")
 
 
 @query

@@ -225,7 +225,7 @@ def scoped_level_fallback(spark, d):
 
 @query
 def category_agreement(spark, d):
-    sets = _label_sets(spark, d).where("c_custkey % 100 < 50").withColumn("labels", F.map_concat("labels", F.create_map(F.lit("categories"), F.when(F.col("n_regionkey") < 2, F.lit("core")).otherwise(F.element_at("labels", F.lit("segment"))))))
+    sets = _label_sets(spark, d).withColumn("labels", F.map_concat("labels", F.create_map(F.lit("categories"), F.when(F.col("n_regionkey") < 2, F.lit("core")).otherwise(F.element_at("labels", F.lit("segment"))))))
     out = labels.category_agreement(labels.label_index(sets.select("labels")), "directory")
     return out.select("place", S.canonical(F.col("categories")).alias("categories"))
 

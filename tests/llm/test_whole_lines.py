@@ -60,3 +60,11 @@ def test_query_against_sql_without_the_cut(spark):
     want = db.execute(f"SELECT {names} FROM ({sql})").fetchall()
     got = queries.op2_line_dedup(spark, DIR).select(*names.split(", ")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pipeline_with_whole_lines(spark, real, monkeypatch):
+    """test_pipeline with the brute force of this file."""
+    import test_document_operators
+
+    monkeypatch.setattr(brute, "dedup_lines", whole)
+    test_document_operators.test_pipeline(spark, real)

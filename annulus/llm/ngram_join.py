@@ -12,10 +12,14 @@
    copies are settled here with as many comparisons as members.
 5. Rest.  In the other buckets every two members of different components meet, and those whose
    sizes and shared prefixes allow a link are compared: exact, without a cap.
-6. Prefix tree.  Comparisons of one document are made together: the candidates' ordered sets
-   form a prefix tree, kept as sorted arrays with the length of the path that each shares with
+6. Prefix tree.  Comparisons of one document are made together: the candidates' sets, in the
+   global order, form a prefix tree, kept as sorted paths with the length that each shares with
    the one before; the overlap of a shared path is counted once, and a path is left when what
-   remains of both sets can't reach the overlap that is needed any more.
+   remains of both sets, by their places in the global order, can't reach the overlap that is
+   needed any more.  Rare n-grams come first, so paths of unlike sets are left early.
+
+A token, class or pivot that very many rows hold is dealt out over several tasks where rows are
+joined by it, and counted within tasks before they meet.
 
 Hashes have 64 bits; within two compared sets of a million n-grams two different ones coincide
 with a probability below one in a million.
@@ -27,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, pick, stored
+from .common import Bitmap, pick, spread_join, stored
 from .components import components
 from .textscan import mix, shingles, slices
 
@@ -100,12 +104,16 @@ def order_classes(rows: DataFrame, k: int) -> np.ndarray:
     return classes
 
 
-def prefixes(rows: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
+def _places(u: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The n-grams' places in the global order: the class above 56 bits of the hash."""
+    return (classes[(u & _U(CELLS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (u >> _U(8))
+
+
+def prefixes(rows: DataFrame, k: int, percent: int, shared) -> DataFrame:
     """(id, n, s1, s2, tokens) of every row: set size, signature, ordered prefix.
 
-    A token is the class above 56 bits of the hash, so the order of tokens is the global one.
+    A token is an n-gram's place in the global order; `shared` holds the broadcast classes.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
@@ -118,8 +126,7 @@ def prefixes(rows: DataFrame, k: int, percent: int, classes: np.ndarray) -> Data
                     size.append(n)
                     one.append(int(mix(u).sum(dtype=np.uint64).astype(np.int64)))
                     two.append(int(np.bitwise_xor.reduce(mix(u ^ _U(0x5851F42D4C957F2D))).astype(np.int64)) if n else 0)
-                    token = (classes[(u & _U(CELLS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (u >> _U(8))
-                    token.sort()
+                    token = np.sort(_places(u, classes))
                     tokens.append(token[: n - -(-percent * n // 100) + MEET if n else 0].astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(size)), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
@@ -161,14 +168,14 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, rows.schema)
 
 
-def _meetings(left: DataFrame, right: DataFrame, percent: int, every: bool) -> DataFrame:
+def _meetings(both: DataFrame, percent: int, every: bool) -> DataFrame:
     """(a, b, x, y, reach) for members of one bucket, of different components, whose sizes allow a link.
 
-    right has columns token, q, m, qos and d.  a is the smaller id, x and y are the sizes; reach
-    bounds the overlap if the bucket's n-gram is the first that both have.
+    both joins members with columns token, q, m, qos and d of others.  a is the smaller id, x
+    and y are the sizes; reach bounds the overlap if the bucket's n-gram is the first that both have.
     """
     meet = (F.col("id") < F.col("q")) if every else (F.col("id") != F.col("q"))
-    both = left.join(right, "token").where(meet & (F.col("comp") != F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    both = both.where(meet & (F.col("comp") != F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     swap = F.col("id") > F.col("q")
     return both.select(
         F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("x"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("y"), F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")).alias("reach")
@@ -179,9 +186,10 @@ def _need_of(percent: int) -> Column:
     return F.ceil((F.col("x") + F.col("y")) * percent / (100 + percent))
 
 
-def _star_pairs(active: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+def _star_pairs(active: DataFrame, pivots: DataFrame, percent: int, total: int) -> DataFrame:
     """Members and their bucket's pivot, unless the sizes or the places in the order rule a link out."""
-    return _meetings(active, pivots, percent, False).where(F.col("reach") >= _need_of(percent)).select("a", "b").distinct()
+    both = spread_join(active, pivots, ["token"], total)
+    return _meetings(both, percent, False).where(F.col("reach") >= _need_of(percent)).select("a", "b").distinct()
 
 
 def _behind(n: str, percent: int) -> Column:
@@ -196,35 +204,35 @@ def _behind(n: str, percent: int) -> Column:
 def _rest_pairs(active: DataFrame, percent: int) -> DataFrame:
     """Every pair of different components, unless what the prefixes share can't be enough.
 
+    active: token, pos, id, n, comp, and `large` for buckets of more than LARGE_BUCKET rows.
+
     In small buckets members meet by a join, and the buckets in which a pair meets are counted.
     Members of large buckets are dealt into blocks, in which their shared n-grams are counted
     at once.  Either count is short of the other kind's n-grams by no more than the set with
     fewer of them has, so no pair is missed.
     """
-    sized = active.join(active.groupBy("token").agg((F.count("*") > LARGE_BUCKET).alias("large")), "token")
-    sized = stored(sized)
-    sets = stored(sized.groupBy("id", "n", "comp").agg(F.count_if(~F.col("large")).alias("small"), F.array_sort(F.collect_list(F.when(F.col("large"), F.col("token")))).alias("tokens")))
-    few = sized.where(~F.col("large"))
+    sets = stored(active.groupBy("id", "n", "comp").agg(F.count_if(~F.col("large")).alias("small"), F.array_sort(F.collect_list(F.when(F.col("large"), F.col("token")))).alias("tokens")))
+    few = active.where(~F.col("large"))
     other = few.select("token", F.col("id").alias("q"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("comp").alias("d"))
-    met = _meetings(few, other, percent, True).groupBy("a", "b", "x", "y").agg(F.count("*").alias("c"))
+    met = _meetings(few.join(other, "token"), percent, True).groupBy("a", "b", "x", "y").agg(F.count("*").alias("c"))
     in_large = sets.where(F.size("tokens") > 0)
     more = in_large.select("id", F.size("tokens").alias("t"))
     met = met.join(more.withColumnsRenamed({"id": "a", "t": "ta"}), "a", "left").join(more.withColumnsRenamed({"id": "b", "t": "tb"}), "b", "left").na.fill(0, ["ta", "tb"])
     near = met.where(F.col("c") + F.least("ta", "tb") + F.greatest(_behind("x", percent), _behind("y", percent)) >= _need_of(percent)).select("a", "b")
-    return near.unionByName(_block_pairs(sized.where("large"), in_large, percent)).distinct()
+    return near.unionByName(_block_pairs(stored(active.where("large").select("token", "id")), in_large, percent)).distinct()
 
 
 def _block_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of sets (id, n, comp, small, tokens) that share tokens of large buckets.
+    """(a, b) of sets (id, n, comp, small, tokens) that share tokens of large buckets; rows: token, id.
 
     Sets that meet in large buckets form clusters; a cluster is dealt into blocks of about
     BLOCK_SETS, and every two blocks meet in a task of their own.
     """
-    pivots = rows.groupBy("token").agg(F.min("id").alias("b"))
-    clusters = components(rows.join(pivots, "token").select(F.col("id").alias("a"), "b").distinct())
+    pivots = rows.groupBy("token").agg(F.min("id").alias("b"), F.count("*").alias("__rows"))
+    clusters = components(spread_join(rows, pivots, ["token"], rows.count()).select(F.col("id").alias("a"), "b").distinct())
     placed = sets.join(clusters.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster")
-    sizes = placed.groupBy("cluster").agg((F.floor(F.count("*") / BLOCK_SETS) + 1).alias("blocks"))
-    placed = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("__rows")).withColumn("blocks", F.floor(F.col("__rows") / BLOCK_SETS) + 1)
+    placed = spread_join(placed.withColumn("key", F.xxhash64("id")), sizes, ["cluster"], clusters.count()).withColumn("block", F.pmod("key", "blocks"))
     meet = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     meet = meet.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
     ordered = meet.select("cluster", "i", "j", "block", "id", "n", "comp", "small", "tokens").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
@@ -275,14 +283,15 @@ def _block_batch(key: tuple, held: list[tuple], percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, shared) -> DataFrame:
     """The (a, b) of pairs whose whole texts reach the threshold, by the prefix tree.
 
-    Texts of the documents named in pairs are fetched through a bitmap of fixed size and exact
-    joins; the candidates of one document come in blocks of about CANDIDATES.
+    Texts of the documents named in pairs are fetched through a bitmap and exact joins; the
+    candidates of one document come in blocks of about CANDIDATES.
     """
-    counted = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    dealt = pairs.join(counted, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("c") / CANDIDATES) + 1).alias("part"))
+    pairs = stored(pairs)
+    counted = pairs.groupBy("a").agg(F.count("*").alias("__rows")).withColumn("c", F.col("__rows"))
+    dealt = spread_join(pairs, counted, ["a"], pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("c") / CANDIDATES) + 1).alias("part"))
     dealt = stored(dealt)
     named = dealt.select(F.col("a").alias("id")).unionByName(dealt.select(F.col("b").alias("id")))
     texts = Bitmap(named, "id").keep(rows, "id")
@@ -291,10 +300,10 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     grouped = members.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, ids, sets, weight = None, [], [], [], 0
+        now, own, ids, sets, weight, classes = None, [], [], [], 0, shared.value
 
         def flush() -> pa.RecordBatch:
-            hits = {i for mine in own if len(mine) for i in _linked(mine, ids, sets, percent)}
+            hits = {i for mine in own if len(mine[0]) for i in _linked(mine, ids, sets, percent)}
             return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(hits), pa.int64()), pa.array(sorted(hits), pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -308,40 +317,48 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
                         own = own if key == now else []
                         now = key
                     u, b = np.unique(found), batch.column(2)[i].as_py()
+                    places = _places(u, classes)
                     if b is None:
-                        own.append(u)
+                        own.append((u, np.sort(places)))
                     elif len(u):
+                        order = np.argsort(places, kind="stable")
                         ids.append(b)
-                        sets.append(u)
-                        weight += u.nbytes
+                        sets.append((u[order], places[order]))
+                        weight += 2 * u.nbytes
         if ids:
             yield flush()
 
     return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _linked(own: np.ndarray, ids: list, sets: list[np.ndarray], percent: int) -> Iterator:
-    """The ids whose sets reach the threshold with `own`: one walk over the tree of their sets."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+def _linked(own: tuple[np.ndarray, np.ndarray], ids: list, sets: list[tuple[np.ndarray, np.ndarray]], percent: int) -> Iterator:
+    """The ids whose sets reach the threshold with `own`: one walk over the tree of their sets.
+
+    own: hashes by value, and their places in the global order; sets: hashes and places, both in
+    the global order.  Where a path stands at some place, only what own has from there on can
+    still be shared.
+    """
+    mine, mine_at = own
+    order = sorted(range(len(sets)), key=lambda i: sets[i][0].astype(">u8").tobytes())
     before, counted, depth = np.zeros(0, np.uint64), np.zeros(1, np.int64), 0
     for i in order:
-        path = sets[i]
-        need = _need(len(own), len(path), percent)
+        path, places = sets[i]
+        need = _need(len(mine), len(path), percent)
         most = min(depth, len(path), len(before))
         differs = np.flatnonzero(path[:most] != before[:most])
         at = int(differs[0]) if len(differs) else most  # this much of the path, and its overlap, is shared
         total = np.empty(len(path) + 1, dtype=np.int64)
         total[: at + 1] = counted[: at + 1]
         while at < len(path):
-            left = len(own) - (int(np.searchsorted(own, path[at])) if at else 0)
+            left = len(mine) - int(np.searchsorted(mine_at, places[at]))
             if total[at] + min(left, len(path) - at) < need:
                 break
             part = path[at : at + 256]
-            where = np.minimum(np.searchsorted(own, part), len(own) - 1)
-            total[at + 1 : at + 1 + len(part)] = total[at] + np.cumsum(own[where] == part)
+            where = np.minimum(np.searchsorted(mine, part), len(mine) - 1)
+            total[at + 1 : at + 1 + len(part)] = total[at] + np.cumsum(mine[where] == part)
             at += len(part)
         before, counted, depth = path, total, at
-        if at == len(path) and len(path) and 100 * total[at] >= percent * (len(own) + len(path) - total[at]):
+        if at == len(path) and len(path) and 100 * total[at] >= percent * (len(mine) + len(path) - total[at]):
             yield ids[i]
 
 
@@ -355,8 +372,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, key: s
     null id has no component.  Other columns are not read, an empty table gives no rows.
     """
     rows = pick(docs, key, text).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    classes = order_classes(rows.select("text"), k)
-    sets = stored(prefixes(rows, k, percent, classes))
+    shared = rows.sparkSession.sparkContext.broadcast(order_classes(rows.select("text"), k))  # CELLS bytes
+    sets = stored(prefixes(rows, k, percent, shared))
     small = sets.select("id", "n", "s1", "s2")
     groups = stored(small.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
     chosen = groups.select(F.col("rep").alias("id"), "n", "s1", "s2")
@@ -365,20 +382,20 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, key: s
     several = small.where("n > 0 AND id IS NOT NULL").distinct().join(groups, ["n", "s1", "s2"]).select("id", "rep")
     several = several.join(several.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z"), "id")
     links = stored(several.select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-    active = members.withColumn("comp", F.col("id"))
+    active, total = members.withColumn("comp", F.col("id")), members.count()
     for turn in range(STARS + 1):
         if turn < STARS:  # compare with one pivot of each bucket: the least id, then one drawn by hash
             rank = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("first"), "id", "n", "pos", "comp")
-            pivots = active.groupBy("token").agg(F.min(rank).alias("p"))
-            pivots = pivots.select("token", F.col("p.id").alias("q"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos"), F.col("p.comp").alias("d"))
-            pairs = _star_pairs(active, pivots, percent)
+            pivots = active.groupBy("token").agg(F.min(rank).alias("p"), F.count("*").alias("__rows"))
+            pivots = pivots.select("token", "__rows", F.col("p.id").alias("q"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos"), F.col("p.comp").alias("d"))
+            pairs = _star_pairs(active, pivots, percent, total)
         else:
             pairs = _rest_pairs(active, percent)
-        found = verified(pairs, rows, k, percent)
+        found = verified(pairs, rows, k, percent, shared)
         links = stored(links.unionByName(found))
         labels = stored(components(links))
         if turn < STARS:
-            active = _unsettled(members, labels)
+            active = _unsettled(members, labels, total)
     named = small.join(groups, ["n", "s1", "s2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
@@ -387,7 +404,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, key: s
 def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that link, directly or through others, with a smaller id.
 
-    Rows that repeat an id are one document, of which the row with the greatest text stays.
+    Rows that repeat an id are one document, of which the row with the greatest text stays (one
+    of them, if several have it), found by a maximum within tasks first.
     Rows with a null id, and documents without words, always stay, each as often as it is there.
     Only the texts of rows that may go are shuffled.
     """
@@ -400,15 +418,16 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
     rows, maybe = docs.toDF(*inner), Bitmap(touched, "__id")
     joined = maybe.keep(rows, id_at).join(touched, F.col(id_at) == F.col("__id"), "left")
     alone = joined.where("__id IS NULL").select(*inner)
-    turn = F.row_number().over(Window.partitionBy(id_at).orderBy(F.col(text_at).desc_nulls_last()))
-    several = joined.where("__first = __id").withColumn("__turn", turn).where("__turn = 1").select(*inner)
+    first = joined.where("__first = __id").groupBy(id_at).agg(F.max_by(F.struct(*inner), text_at).alias("r"))
+    several = first.select(*(F.col(f"r.{c}").alias(c) for c in inner))
     out = maybe.keep(rows, id_at, inside=False).unionByName(alone).unionByName(several)
     return out.toDF(*names)
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold several components, with their component."""
+def _unsettled(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """Rows of the buckets that still hold several components, with their component, and `large`."""
     with_comp = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "pos", "id", "n", F.coalesce("component", "id").alias("comp"))
     with_comp = stored(with_comp)
-    open_tokens = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return stored(with_comp.join(open_tokens, "token", "left_semi"))
+    open_tokens = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("__rows"))
+    open_tokens = open_tokens.where("lo < hi").select("token", "__rows", (F.col("__rows") > LARGE_BUCKET).alias("large"))
+    return stored(spread_join(with_comp, open_tokens, ["token"], total))

@@ -14,7 +14,8 @@ earliest stays.
    so each key costs a running value and not a copy of the line.
 4. Within a key, lines that leave out the same place are all within the bound of each other and
    of the line that is the rest itself, so the earliest of them is every other one's witness:
-   minima replace the pairs, whatever the size of a group.
+   minima replace the pairs, whatever the size of a group, and the lines of a hot key are dealt
+   out over several tasks where the minima are joined back.
 5. Each line and its witness are compared word by word before the line goes.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, let, pick, stored
+from .common import Bitmap, let, pick, spread_join, stored
 from .quality import spaced
 
 #: Of lines that are compared within the bound; equal lines go whatever their length.
@@ -126,11 +127,12 @@ def kept_places(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     known = known.where((_halves()[0] == F.col("g0")) & (_halves()[1] == F.col("g1")))  # ids can repeat
     known = stored(known.dropDuplicates(["g0", "g1"]).drop("g0", "g1"))
     variants = stored(_variants(known))
-    busy = stored(variants.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    met = stored(Bitmap(busy, "key").keep(variants, "key").join(busy, "key").withColumn("at", place).select("key", "gone", "at"))
-    same_gap = met.groupBy("key", "gone").agg(F.min("at").alias("first_gap"))
-    either = met.groupBy("key").agg(F.min(F.when(F.col("gone") < 0, F.col("at"))).alias("first_own"), F.min(F.when(F.col("gone") >= 0, F.col("at"))).alias("first_any"))
-    seen = met.join(same_gap, ["key", "gone"]).join(either, "key")
+    busy = stored(variants.groupBy("key").agg(F.count("*").alias("__rows")).where("__rows > 1"))
+    met = spread_join(Bitmap(busy, "key").keep(variants, "key"), busy, ["key"], variants.count())
+    met = stored(met.withColumn("at", place).select("key", "gone", "at"))
+    same_gap = met.groupBy("key", "gone").agg(F.min("at").alias("first_gap"), F.count("*").alias("__rows"))
+    either = same_gap.groupBy("key").agg(F.min(F.when(F.col("gone") < 0, F.col("first_gap"))).alias("first_own"), F.min(F.when(F.col("gone") >= 0, F.col("first_gap"))).alias("first_any"))
+    seen = spread_join(met, same_gap.join(either, "key"), ["key", "gone"], met.count())
     witness = F.when(F.col("gone") < 0, F.col("first_any")).otherwise(F.least("first_gap", F.coalesce("first_own", "first_gap")))
     found = seen.withColumn("witness", witness).where("witness < at").select("at", "witness").distinct()
     mine = known.select(F.struct("id", "line").alias("at"), F.col("w").alias("a"))
@@ -139,7 +141,7 @@ def kept_places(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     return every.join(gone, F.col("first").eqNullSafe(F.col("at")), "left_anti").select("first.id", "first.line")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", counts: bool = True, chars: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", counts: bool = True, chars: str | None = None, least_words: int = 0) -> DataFrame:
     """docs with text replaced by the lines that stay, joined by line feeds, and two columns more
     unless `counts` is off: `n_lines` and `n_kept_lines`.  A column `chars`, if docs has it, gets
     the new text's length.
@@ -148,7 +150,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     repeats (equal words) of an earlier one.  A null text stays null, with 0 lines; an empty one is
     one empty line.  Rows that repeat a key are copies of one document and keep the same places;
     rows with a null key are one document before all others.  Equal lines inside one document
-    are duplicates too.  The other columns pass unchanged; an empty table gives no rows.
+    are duplicates too.  With `least_words`, a document that has lost lines and has fewer words
+    left goes; one that has lost none stays, however short.  The other columns pass unchanged; an empty table gives no rows.
     """
     places = kept_places(docs, min_words=min_words, key=key, text=text).groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("line")).alias("__at"))
     # one byte for each line up to the last kept one: 1 where it stays
@@ -157,13 +160,22 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, key: str = "doc_
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     id_at, text_at = (f"c{names.index(n)}" for n in (key, text))
-    joined = docs.toDF(*inner).join(marks.hint("shuffle_hash"), F.col(id_at).eqNullSafe(F.col("__id")), "left")
+    rows = docs.toDF(*inner)
+    keyed = rows.where(F.col(id_at).isNotNull()).join(marks.where("__id IS NOT NULL").hint("shuffle_hash"), F.col(id_at) == F.col("__id"), "left")
+    # all rows with a null key have the same marks, one row: broadcast, they stay where they are
+    unkeyed = rows.where(F.col(id_at).isNull()).join(F.broadcast(marks.where("__id IS NULL")), F.lit(True), "left")
+    joined = keyed.unionByName(unkeyed)
     joined = joined.withColumn("__lines", F.split(text_at, "\n", -1))
     stays = F.filter("__lines", lambda t, i: ~_takes_part(t, min(1, min_words)) | F.coalesce(F.substring("__marks", i + 1, F.lit(1)) == F.lit(b"1"), F.lit(False)))
     joined = joined.withColumn("__kept", stays)
     joined = joined.withColumn("__text", F.array_join("__kept", "\n"))
     new = {text_at: F.col("__text")} | ({f"c{names.index(chars)}": F.length("__text").cast("long")} if chars in names else {})
     out = [new.get(c, F.col(c)).alias(c) for c in inner]
+    if least_words:
+        lost = F.size("__kept") < F.size("__lines")
+        short = F.coalesce(lost & (F.size(_words(spaced("__text"))) < least_words), F.lit(False))
+        # a filter would move below the projections above and compute them twice; a generator doesn't
+        joined = joined.withColumn("__stays", F.explode(F.when(short, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))))
     if not counts:
         return joined.select(*out).toDF(*names)
     found = [F.coalesce(F.size(c), F.lit(0)).cast("long") for c in (F.col("__lines"), F.col("__kept"))]

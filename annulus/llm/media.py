@@ -4,7 +4,7 @@ A payload is kept losslessly as 8-bit mono samples in a WAV file.  A rolling gea
 the file's bytes sets the cuts, so equal passages give equal chunks wherever they stand.
 
 Store.  A first pass over the texts gives only chunk digests; those that occur more than once
-set bits of a bitmap of fixed size.  A second pass writes the chunks whose digest is in the
+set bits of a bitmap sized by their number.  A second pass writes the chunks whose digest is in the
 bitmap to the shared chunk table, deduplicated by digest, and a third one writes a pack for
 each document: its manifest (the ordered chunk list) with the bytes of its unshared chunks.
 Every unshared chunk lies beside its manifest, so only shared bytes are ever shuffled.
@@ -34,7 +34,7 @@ RATE = 8000
 LEAST, MOST = 256, 8192
 _MASK = np.uint32(0xFFC00000)  # ten bits: a cut about every kilobyte
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
-BITS = 1 << 24
+MOST_BITS = 1 << 27  # of the bitmap that every Python worker holds: 16 MB
 ROWS = 256
 
 
@@ -104,14 +104,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, ROWS)
 
 
-def _shared_digests(texts: DataFrame, bits: int) -> Bitmap:
+def _shared_digests(texts: DataFrame, bits: int | None) -> Bitmap:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             found = [_place(digest(c)) for t in part.column(0) for c in chunks(to_wav(payload(t.as_py())[0]))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["place"])
 
     places = texts.mapInArrow(run, "place bigint").groupBy("place").agg(F.count("*").alias("n"))
-    return Bitmap(places.where("n > 1"), "place", bits, hashed=False)
+    return Bitmap(stored(places.where("n > 1").select("place")), "place", bits, hashed=False, most=MOST_BITS)
 
 
 PACK = (
@@ -222,21 +222,23 @@ def _joined(packs: DataFrame, table: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, FEATURES)
 
 
-def media_columns(docs: DataFrame, *, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def media_columns(docs: DataFrame, *, bits: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature, n_chunks, n_shared_chunks) of every whole text, computed from the bytes read back.
 
     A null text is an empty one, whose payload is UNIT bytes 0.  Equal texts give equal values;
     repeated rows and null keys stay; other columns are not read; an empty table gives no rows.
     A chunk that the bitmap lets through by chance is stored as a shared one, so its size only
-    decides how much is shuffled.
+    decides how much is shuffled.  It has eight bits a shared chunk up to MOST_BITS, that is 16
+    million shared chunks (some 20 GB of them); beyond, more unshared chunks go through the join.
     """
     rows = pick(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("text"))
     key_type = dict(rows.dtypes)["id"]
     texts = rows.select("text")
-    words = rows.sparkSession.sparkContext.broadcast(_shared_digests(texts, bits).dense())
-    table = stored(_chunk_table(texts, words, bits))
-    packs = stored(_packs(rows, words, bits))
+    bitmap = _shared_digests(texts, bits)
+    words = rows.sparkSession.sparkContext.broadcast(bitmap.dense())
+    table = stored(_chunk_table(texts, words, bitmap.bits))
+    packs = stored(_packs(rows, words, bitmap.bits))
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "read_bytes", "read_sha256", "feature"]
     whole = _whole(packs.where(F.size("shared") == 0), key_type).withColumn("n_shared", F.lit(0).cast("long"))
     partial = packs.where(F.size("shared") > 0)

@@ -58,8 +58,13 @@ def copies(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: floa
     documents of their own, an empty table gives no rows.  Ties in size go by key, and equal
     (source, size, key) rows are interchangeable.  Reruns agree.
     """
+    return _drawn(docs, weights, share, most, seed, key, text, source).drop("same")
+
+
+def _drawn(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int, key: str, text: str, source: str) -> DataFrame:
+    """copies() and `same`, a hash of the text and source that the copies are of."""
     rows = pick(docs, key, text, source)
-    sizes = stored(rows.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    sizes = stored(rows.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _same(text, source).alias("same")))
     goal = stored(targets(sizes, weights, share, most))
     dealt = stored(sizes.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
     within = Window.partitionBy("source", "part").orderBy(F.col("size").desc(), F.col("doc_id").asc_nulls_last())
@@ -73,23 +78,28 @@ def copies(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: floa
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))))
     offset = F.conv(F.substring(drawn, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
     taken = F.floor(F.col("rank") * rate + offset) - F.floor((F.col("rank") - 1) * rate + offset)
-    return at.select("doc_id", "size", "source_size", "target", F.least(taken, F.ceil(F.lit(float(most)))).cast("long").alias("copies"))
+    return at.select("doc_id", "same", "size", "source_size", "target", F.least(taken, F.ceil(F.lit(float(most)))).cast("long").alias("copies"))
+
+
+def _same(text: str, source: str) -> Column:
+    return F.xxhash64(F.col(text).isNull(), text, F.col(source).isNull(), source)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents, each as often as it was drawn, with the columns of docs.
 
-    Rows that repeat a key share out the copies drawn for it by text order.
+    Rows that share key, text and source share out the copies drawn for them; all others, also
+    of one key or without one, have their own.
     """
-    key, text = options.get("key", "doc_id"), options.get("text", "text")
-    drawn = copies(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    drawn = _drawn(docs, weights, share, most, seed, key, text, source)
+    drawn = drawn.groupBy(F.col("doc_id").alias("__id"), F.col("same").alias("__hash")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
+    id_at, text_at, source_at = (f"c{names.index(n)}" for n in (key, text, source))
     rows = docs.toDF(*inner)
-    id_at, text_at = (f"c{names.index(n)}" for n in (key, text))
-    joined = rows.join(drawn, F.col(id_at).eqNullSafe(F.col("__id")))
+    joined = rows.withColumn("__same", _same(text_at, source_at)).join(drawn, F.col(id_at).eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__hash")))
     single = joined.where("__rows = 1").withColumn("__n", F.col("__copies"))
-    turn = F.row_number().over(Window.partitionBy(id_at).orderBy(text_at))
+    turn = F.row_number().over(Window.partitionBy(id_at, "__same").orderBy("__rows"))
     several = joined.where("__rows > 1").withColumn("__k", turn)
     several = several.withColumn("__n", F.expr("__copies div __rows + if(__k <= __copies % __rows, 1, 0)")).drop("__k")
     out = single.unionByName(several).where("__n > 0").withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))

@@ -6,7 +6,9 @@ the codeword of least loss, weighted by how well each bit separates the training
 the prediction, and a small lead over the second codeword flags the text as ambiguous.
 
 The classifiers' counts come from every training document.  They are one number for each
-(language, bucket): that table, and nothing that grows with the documents, reaches the driver.
+(language, bucket); the driver takes them in for LANGUAGES languages at a time and keeps what
+each bit needs, so its memory follows neither the documents nor the number of languages, but
+for the list of their names and codewords.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, stored
 from .textscan import slices
 
 BUCKETS = 1 << 13
-MAX_LANGUAGES = 256
+LANGUAGES = 64
 SMOOTHING = 0.5
 AMBIGUOUS_LEAD = 0.2
 
@@ -106,21 +108,28 @@ class Model:
 def fit(train: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
     """Train on every row with a language; null and empty texts count nothing."""
     rows = pick(train, text, lang).where(F.col(lang).isNotNull())
-    counts = gram_counts(rows, text, lang).orderBy("lang", "bucket").toPandas()  # at most languages x BUCKETS rows
-    languages = sorted(set(counts["lang"]))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are supported")
-    if len(languages) < 2:
-        return Model(languages, codewords(len(languages)), np.zeros((BUCKETS, 0)), np.ones(0))
-    n = np.zeros((len(languages), BUCKETS))
-    n[counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=int), counts["bucket"].to_numpy(dtype=int)] = counts["n"].to_numpy()
-    share = (n + SMOOTHING) / (n + SMOOTHING).sum(axis=1, keepdims=True)
-    code = codewords(len(languages))
-    weights = np.zeros((BUCKETS, code.shape[1]))
-    for b in range(code.shape[1]):
-        has, lacks = share[code[:, b] > 0].mean(axis=0), share[code[:, b] < 0].mean(axis=0)
-        weights[:, b] = np.log(has) - np.log(lacks)
-    margins = share @ weights
+    counts = stored(gram_counts(rows, text, lang))
+    languages = sorted(r.lang for r in counts.select("lang").distinct().toLocalIterator())
+    k, code = len(languages), codewords(len(languages))
+    if k < 2:
+        return Model(languages, code, np.zeros((BUCKETS, 0)), np.ones(0))
+
+    def shares() -> Iterator[tuple[int, np.ndarray]]:
+        """(number, smoothed share of each bucket) of every language, in order."""
+        for lo in range(0, k, LANGUAGES):
+            part = {x: i for i, x in enumerate(languages[lo : lo + LANGUAGES])}
+            held = counts.toArrow() if k <= LANGUAGES else counts.where(F.col("lang").isin(*part)).toArrow()
+            n = np.zeros((len(part), BUCKETS))
+            n[[part[x] for x in held.column("lang").to_pylist()], held.column("bucket").to_numpy()] = held.column("n").to_numpy()
+            for i, row in enumerate(n + SMOOTHING):
+                yield lo + i, row / row.sum()
+
+    has, lacks, bits = np.zeros((BUCKETS, code.shape[1])), np.zeros((BUCKETS, code.shape[1])), code > 0
+    for i, share in shares():
+        has += share[:, None] * bits[i]
+        lacks += share[:, None] * ~bits[i]
+    weights = np.log(has / bits.sum(axis=0)) - np.log(lacks / (~bits).sum(axis=0))
+    margins = np.stack([share @ weights for _, share in shares()])
     scale = np.abs(margins).mean(axis=0)
     scale[scale == 0] = 1.0
     trust = np.maximum((margins / scale * code).min(axis=0), 1e-3)
@@ -131,7 +140,7 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     """(key, lang_pred, score, ambiguous) of every whole text.
 
     `und` with score 0 where the text is null, empty or has no letter, or where nothing was
-    learned.  Equal texts get equal results; repeated rows stay; a null key stays null.
+    learned.  Languages that fit equally well go by name, and are ambiguous.  Equal texts get equal results; repeated rows stay; a null key stays null.
     """
     rows = pick(docs, key, text).select(
         F.col(key), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")

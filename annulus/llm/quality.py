@@ -18,6 +18,8 @@ from .common import let, pick
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 16_384
+#: In nats a n-gram: what is kept is on (geometric) average 0.89 times as likely in the target as
+#: in the corpus, or more.  A document like the whole corpus scores near 0, whatever its length.
 THRESHOLD = -0.12
 SMOOTHING = 8.0
 WINDOW = 8
@@ -119,14 +121,16 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, s
     """One row: `__ratios`, log p_target - log p_raw of each bucket.
 
     trusted: keys of the target documents (repeats and nulls don't matter); at most
-    `max_trusted` of them are fitted on, drawn by hash, so that they can be broadcast.  The raw
+    `max_trusted` of those that docs holds are fitted on, drawn by hash, so that they can be
+    broadcast.  The raw
     counts cover all documents.  Counts are summed within tasks before the shuffle; the row has
     `buckets` numbers.
     Without any target n-gram every ratio is 0, so that nothing is rejected unjudged.
     """
     rows = pick(docs, key, text)
     good = pick(trusted, key).where(F.col(key).isNotNull()).distinct().select(F.col(key).alias("__good"))
-    good = good.orderBy(F.xxhash64("__good"), "__good").limit(max_trusted)
+    held = rows.select(F.col(key).alias("__good")).where("__good IS NOT NULL").distinct()
+    good = good.join(held, "__good").orderBy(F.xxhash64("__good"), "__good").limit(max_trusted)
 
     def counted(part: DataFrame, name: str) -> DataFrame:
         hashed = part.select(word_hashes(F.col(text)).alias("h")).withColumn("h2", doubled(F.col("h"), 1))
@@ -141,13 +145,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, s
     return found.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "x"))), lambda e: e["x"]).alias("__ratios"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept).
 
     A null or empty text has no words, fails the base rules and scores 0.  Repeated rows are
     judged each on their own, equal texts alike; an empty table gives no rows.
     """
-    ratios = log_ratios(docs, trusted, buckets=buckets, key=key, text=text)
+    ratios = log_ratios(docs, trusted, buckets=buckets, max_trusted=max_trusted, key=key, text=text)
     rows = verdicts(pick(docs, key, text), ratios, text, threshold=threshold, buckets=buckets)
     return rows.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
@@ -163,7 +167,7 @@ def verdicts(rows: DataFrame, ratios: DataFrame, text: str, *, threshold: float
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def kept(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def kept(docs: DataFrame, trusted: DataFrame, *, max_trusted: int = MAX_TRUSTED, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that pass, with the columns of docs, in one narrow pass over the texts.
 
     The verdict is made beside the row itself, so repeated keys and null keys need no join.
@@ -172,7 +176,7 @@ def kept(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str
     inner = [f"c{i}" for i in range(len(names))]
     rows = docs.toDF(*inner)
     text_at = f"c{names.index(text)}"
-    ratios = log_ratios(docs, trusted, key=key, text=text, buckets=options.get("buckets", BUCKETS))
+    ratios = log_ratios(docs, trusted, key=key, text=text, max_trusted=max_trusted, buckets=options.get("buckets", BUCKETS))
     # a filter moves below deterministic projections and would compute the hashes again in each
     # of its terms; one that reads a row number stays where it is
     judged = verdicts(rows, ratios, text_at, **options).withColumn("__row", F.monotonically_increasing_id())

@@ -33,7 +33,8 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_id")
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,14 +46,24 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed(turns: DataFrame) -> DataFrame:
-    """Stored turns as a log: each row is a message of its own, opened, with its text as one delta.
+    """Stored turns as the log that led to them: each row is a message of its own.
 
-    Rows of one turn stand by role and text; null turns come last, as in the SQL.  Rows are
-    numbered within their turn, so a long conversation is spread over its turns.
+    An assistant's text was streamed as a first half, thrown away, and made again from two
+    deltas; any other text was begun and then edited to what is stored.  Rows of one turn stand
+    by role and text; null turns come last, as in the SQL.  Rows are numbered within their turn,
+    so a long conversation is spread over its turns.
     """
     row = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
     message = F.struct(F.col("turn").isNull().alias("last"), "turn", row.alias("row"))
-    events = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate([("message", F.lit("")), ("delta", F.col("text"))])))
+    half = F.floor(F.length("text") / 2).cast("int")
+    front, back = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    none = F.lit(None).cast("string")
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(events)))
+
+    made = log(("message", F.lit("")), ("delta", front), ("regenerate", none), ("delta", front), ("delta", back))
+    events = F.when(F.col("role") == chat.TRAINED, made).otherwise(log(("message", front), ("edit", F.col("text"))))
     return turns.withColumn("message", message).select("conv_id", "message", "role", F.explode(events).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "role", "e.text")
 
 
@@ -124,10 +135,10 @@ WITH split AS (
   SELECT doc_id, i AS line, ls[i] AS t, {_WORDS.format("ls[i]")} AS w
   FROM split, unnest(range(1, len(ls) + 1)) AS r(i)
 ), firsts AS (
-  SELECT w, min((doc_id, line)) AS f FROM lines WHERE len(w) >= 5 GROUP BY w
+  SELECT w, min((doc_id, line)) AS f FROM lines WHERE len(w) > 0 GROUP BY w
 ), variants AS (
-  SELECT list_filter(w, lambda x, j: j <> g) AS r, g, f, w FROM firsts, unnest(range(1, len(w) + 1)) AS q(g)
-  UNION ALL SELECT w, 0, f, w FROM firsts
+  SELECT list_filter(w, lambda x, j: j <> g) AS r, g, f, w FROM firsts, unnest(range(1, len(w) + 1)) AS q(g) WHERE len(w) >= 5
+  UNION ALL SELECT w, 0, f, w FROM firsts WHERE len(w) >= 5
 ), keyed AS (
   SELECT *, min(f) OVER (PARTITION BY r, g) AS gap, min(CASE WHEN g = 0 THEN f END) OVER (PARTITION BY r) AS own,
     min(CASE WHEN g > 0 THEN f END) OVER (PARTITION BY r) AS other
@@ -136,7 +147,7 @@ WITH split AS (
   SELECT DISTINCT f FROM keyed WHERE (g = 0 AND other < f) OR (g > 0 AND (gap < f OR own < f))
 ), kept AS (
   SELECT l.doc_id, l.line, l.t FROM lines l LEFT JOIN firsts s ON l.w = s.w
-  WHERE len(l.w) < 5 OR ((l.doc_id, l.line) = s.f AND s.f NOT IN (SELECT f FROM gone))
+  WHERE len(l.w) = 0 OR ((l.doc_id, l.line) = s.f AND s.f NOT IN (SELECT f FROM gone))
 ), texts AS (
   SELECT doc_id, count(*) AS k, string_agg(t, chr(10) ORDER BY line) AS t FROM kept GROUP BY doc_id
 )

@@ -60,7 +60,7 @@ def test_media(spark, documents):
     for i, t in docs:
         r, wav = rows[i], media.to_wav(media.payload(t)[0])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == brute.payload_row(t)
-        assert (r.media_bytes, r.media_sha256, r.n_chunks) == (len(wav), hashlib.sha256(wav).hexdigest(), len(media.chunks(wav)))
+        assert (r.media_bytes, r.media_sha256, r.n_chunks, r.feature) == (len(wav), hashlib.sha256(wav).hexdigest(), len(media.chunks(wav)), brute.feature(t))
     assert all(rows[2000 + i].n_shared_chunks > 0.8 * rows[2000 + i].n_chunks for i in range(5)) and rows[1004].feature == rows[1005].feature
 
 
@@ -230,6 +230,13 @@ def test_mixing_of_odd_rows(spark, odd, nothing):
     assert len(out) == 13 and mixing.copies(nothing).count() == 0 and mixing.mix(nothing).count() == 0
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns and mixed.count() == sum(r.copies for r in out)
+    again = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e", "s"), (None, "a b c", "s"), (None, "x y z w", "s"), (1, "a b c", "t"), (1, "a b c", None)]
+    frame = spark.createDataFrame(again, "doc_id long, text string, source string")
+    drawn = Counter()
+    for r in mixing._drawn(frame, (3, 1, 2), 1.5, 2.0, 17, "doc_id", "text", "source").collect():
+        drawn[r.doc_id, r.same] += r.copies
+    same = {tuple(r[:3]): r.h for r in frame.withColumn("h", mixing._same("text", "source")).collect()}
+    assert Counter(tuple(r) for r in mixing.mix(frame).collect()) == Counter({k: drawn[k[0], h] for k, h in same.items() if drawn[k[0], h]})
     empty = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert {r.copies for r in mixing.copies(empty).collect()} == {0}
 
@@ -264,7 +271,8 @@ def test_pipeline(spark, real):
     docs = [(i, t) for i, t, *_ in real]
     source = {i: s for i, _, _, s in real}
     docs = [x for x, q in zip(docs, brute.quality(docs, trusted, quality.BUCKETS, quality.SMOOTHING, quality.THRESHOLD)) if q[3]]
-    docs = [(i, t) for (i, _), t in zip(docs, brute.dedup_lines(docs))]
+    before = dict(docs)
+    docs = [(i, t) for (i, _), t in zip(docs, brute.dedup_lines(docs)) if t == before[i] or len(brute.words(t)) >= 5]
     docs = [x for x, (i, _, c) in zip(docs, brute.components(docs, 5, 80)) if i == c]
     mixed = [(i, t, source[i]) for i, t in docs]
     want = Counter({(i, hashlib.sha256(t.encode()).hexdigest()): n for (i, t, _), n in zip(mixed, brute.copies(mixed)) if n})
@@ -275,5 +283,25 @@ def test_pipeline(spark, real):
 def test_stages_keep_the_columns(spark, odd):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "lines", "groups", "mixing", "bpe"]
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+    for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, odd, "/root/testdata/sf0.001").columns == odd.columns, name
+    d = "/root/testdata/sf0.001"
+    assert dict(corpus_pipeline.STAGES)["quality"](spark, odd, d).count() == 0
+    rows = dict(corpus_pipeline.STAGES)["bpe"](spark, odd, d).collect()
+    assert len(rows) == 13 and {r.n_tokens for r in rows if r.doc_id == 1} == {0}
+
+
+def test_stages_of_an_empty_table(spark, nothing):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, "/root/testdata/sf0.001").count() == 0
+
+
+def test_the_pipeline_deletes_what_it_is_done_with(spark):
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    held = common._written.setdefault(spark.sparkContext.applicationId, [])
+    before = {*held}
+    out = corpus_pipeline.run(spark, d)
+    left = [p for p in held if p not in before]
+    assert len(left) == 1 and out.count() > 0

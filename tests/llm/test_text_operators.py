@@ -33,6 +33,29 @@ def test_token_counts_equal_the_tokenizer(tokenizers, real):
     assert counter.count("") == (0, 0, 0.0)
 
 
+def test_the_query_equals_the_tokenizer(tokenizers, spark, real):
+    got = {r.doc_id: r.n_tokens for r in queries.op1_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    for i, t, *_ in real:
+        assert got[i] == (len(tokenizers[1].encode(token_counts.MARK + t.replace(" ", token_counts.MARK)).tokens) if t else 0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text(alphabet="abcé", min_size=1, max_size=4), st.integers(-40, -1), min_size=1, max_size=30), st.lists(st.text(alphabet="abcéx", min_size=1, max_size=25), min_size=1, max_size=8))
+def test_any_unigram_vocabulary(scores, texts):
+    """Random vocabularies with many equal sums of scores."""
+    from tokenizers import Tokenizer, models
+
+    pieces = {p: s / 4 for p, s in scores.items()}
+    vocabulary = [("<unk>", 0.0), *((f"<0x{i:02X}>", 0.0) for i in range(256)), *pieces.items()]
+    # the unknown piece takes part in the least score of that library, so one as low stands in
+    low = min(pieces.values())
+    vocabulary[0] = ("<unk>", low)
+    vocabulary[1:257] = [(p, low) for p, _ in vocabulary[1:257]]
+    whole, counter = Tokenizer(models.Unigram(vocabulary, 0, True)), token_counts.CountingViterbi(pieces)
+    for t in texts:
+        assert counter.viterbi(t)[0] == len(whole.encode(t).tokens), t
+
+
 def test_ties_go_to_the_path_found_first():
     counter = token_counts.CountingViterbi({"a": -1.0, "b": -1.0, "ab": -2.0, "c": -1.0, "bc": -2.0, "▁": -1.0})
     assert counter.viterbi("ab") == (1, 0, -2.0) and counter.viterbi("abc") == (2, 0, -3.0) and counter.viterbi("é")[:2] == (2, 2)
@@ -40,6 +63,7 @@ def test_ties_go_to_the_path_found_first():
 
 def test_token_counts_of_odd_rows(spark, odd, nothing):
     path = queries.tokenizer("piece_bpe_32k.model")
+    assert {r.n_tokens for r in token_counts.token_counts(odd, path).where("doc_id = 2").collect()} == {0}
     rows = token_counts.token_counts(odd, path).collect()
     assert len(rows) == 13 and [r.n_tokens for r in rows if r.doc_id in (1, 2)] == [0, 0] and len([r for r in rows if r.doc_id == 5]) == 2
     assert token_counts.token_counts(nothing, path).count() == 0
@@ -106,6 +130,32 @@ def test_language_of_odd_rows(spark, odd, nothing):
     assert langid.fit(train.where("lang = 'en'")).predict(np.ones(langid.BUCKETS))[0] == "en"
 
 
+def test_language_equals_the_plain_version(spark, real):
+    rows = [(i, t, lang) for i, t, lang, _ in real] + [(9001, "", "de"), (9002, None, "de"), (9003, "12 34", None), (9004, "la", None), (9005, "die the la les", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(t, lang) for i, t, lang in rows if lang and i % 3]
+    model = langid.fit(frame.where("doc_id % 3 <> 0"))
+    got = {r.doc_id: r for r in langid.predict(frame, model).collect()}
+    for (i, _, _), (lang, score, ambiguous) in zip(rows, brute.languages(train, [t for _, t, _ in rows])):
+        assert (got[i].lang_pred, got[i].ambiguous) == (lang, ambiguous) and got[i].score == pytest.approx(score, abs=1e-9)
+    assert any(r.ambiguous for r in got.values()) and not all(r.ambiguous for r in got.values())
+
+
+def test_languages_come_in_parts(spark, real, monkeypatch):
+    frame = spark.createDataFrame([(t, f"{lang}{i % 3}") for i, t, lang, _ in real if lang], "text string, lang string")
+    whole = langid.fit(frame)
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    parts = langid.fit(frame)
+    assert whole.languages == parts.languages and len(parts.languages) > 7
+    assert np.array_equal(whole.weights, parts.weights) and np.array_equal(whole.trust, parts.trust)
+
+
+def test_languages_that_fit_alike_are_ambiguous(spark):
+    train = spark.createDataFrame([("the same text", "b"), ("the same text", "a"), ("ganz anders", "c")], "text string, lang string")
+    found = langid.predict(spark.createDataFrame([(1, "the same text")], "doc_id long, text string"), langid.fit(train)).first()
+    assert found.lang_pred == "a" and found.ambiguous
+
+
 @pytest.mark.parametrize("k", [2, 4, 7, 8, 30])
 def test_codewords_are_apart(k):
     code = langid.codewords(k).astype(int)
@@ -147,6 +197,39 @@ def test_context_finds_unknown_identifiers(spark):
     assert all(not found[i] for i, _ in other) and all(len(found[i]) == 1 for i, _ in known + learned)
 
 
+def hard_identifiers():
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    docs = [f'set the token = "{secret(i)}" in it' for i in range(6)] + ['and the token = "short-one" too', "the token = 'UPPER_CODE' too", 'the token = "" and token = "abc"']
+    docs += [f"{'w' * 400} {'v' * 300} x{i}@mail.example" for i in range(4)] + [f"{'u' * 400} {'v' * 300} EMP-77{i}X" for i in range(4)] + [f"{'w' * 400} {'v' * 300} EMP-88{i}X" for i in range(2)]
+    docs += [f"of the y{i}@mail.example now" for i in range(5)] + ["of the 12345678 now"] + ["of the others of the rest"] * 9
+    docs += [f"a({i}@mail.example) code: ({i}@mail.example) at \"+1 (803) 555-45{i}0\" to AB-CD_{i} on" for i in range(10, 16)] + [None, "", "123456 x", "x 123456", "a b 123456"]
+    return [*enumerate(docs)]
+
+
+def test_identifiers_equal_the_plain_version(spark, real):
+    for docs in (hard_identifiers(), [(i, t) for i, t, *_ in real] + [(9000 + i, t) for i, t in hard_identifiers()]):
+        got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        for (i, t), want in zip(docs, brute.identifiers(docs)):
+            assert got[i] == want, (i, (t or "")[:80])
+    assert any(s[1] == 4 for i, _ in hard_identifiers() for s in got[9000 + i])
+
+
+def test_long_words_are_whole_words(spark):
+    """Two contexts that differ only far to the left are two."""
+    docs = [(i, f"{'w' * 400} {'v' * 300} x{i}@mail.example") for i in range(9)] + [(100 + i, f"{'u' * 400} {'v' * 300} EMP-77{i}X") for i in range(4)] + [(200, f"{'w' * 400} {'v' * 300} EMP-990X")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[200] == [4] and all(not got[100 + i] for i in range(4))
+
+
+def test_secrets_of_the_tables_are_found(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    found = queries.op4_pii(spark, d).join(docs, "doc_id")
+    planted = F.size(F.regexp_extract_all(F.lower("text"), F.lit('token = "[0-9a-f]{40}"'), F.lit(0)))
+    said = found.agg(F.sum(planted), F.sum("n_id"), F.sum(F.least(planted, F.col("n_id")))).first()
+    assert said[0] > 5 and said[2] >= 0.9 * said[0] and said[1] <= said[2] + 1
+
+
 def test_personal_data_of_odd_rows(odd, nothing):
     rows = pii.find(odd).collect()
     assert len(rows) == 13 and all(not r.base for r in rows if r.doc_id in (None, 1, 2, 3)) and pii.find(nothing).count() == 0

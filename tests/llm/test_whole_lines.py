@@ -1,30 +1,10 @@
-"""Line dedup of lines of any length, against a brute force and SQL without a minimum for equal lines."""
-
-import glob
-import os
+"""Line dedup of lines of any length."""
 
 import brute
-import duckdb
 import pytest
-from conftest import DIR, made
-
-from annulus.llm import line_dedup, queries
-
+from conftest import made
 
-def whole(docs, least=5):
-    """[text] of [(id, text)] with distinct ids: equal lines go whatever their length."""
-    seen, out = [], {}
-    for i, t in sorted(docs, key=lambda d: d[0]):
-        kept = []
-        for line in t.split("\n"):
-            w = brute.words(line)
-            near = lambda o: len(w) >= least <= len(o) and abs(len(w) - len(o)) <= 1 and brute.word_distance(w, o) <= 1  # noqa: E731, B023
-            if not w or not any(w == o or near(o) for o in seen):
-                kept.append(line)
-            if w:
-                seen.append(w)
-        out[i] = "\n".join(kept)
-    return [out[i] for i, _ in docs]
+from annulus.llm import line_dedup
 
 
 def dedup(spark, docs):
@@ -42,29 +22,10 @@ def test_short_exact_repeats_go(spark):
 def test_lines_of_any_length(spark, seed):
     docs = made(seed)
     got = dedup(spark, docs)
-    assert [got[i].text for i, _ in docs] == whole(docs)
-
-
-def test_query_against_sql_without_the_cut(spark):
-    if not os.path.isdir(DIR):
-        pytest.skip("no tables here")
-    cut = queries.SQL["op2_line_dedup"]
-    sql = cut.replace("FROM lines WHERE len(w) >= 5 GROUP BY w", "FROM lines WHERE len(w) > 0 GROUP BY w")
-    sql = sql.replace("FROM firsts, unnest(range(1, len(w) + 1)) AS q(g)", "FROM firsts, unnest(range(1, len(w) + 1)) AS q(g) WHERE len(w) >= 5")
-    sql = sql.replace("SELECT w, 0, f, w FROM firsts", "SELECT w, 0, f, w FROM firsts WHERE len(w) >= 5").replace("WHERE len(l.w) < 5 OR", "WHERE len(l.w) = 0 OR")
-    db = duckdb.connect()
-    for path in glob.glob(f"{DIR}/*.parquet"):
-        db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    assert sql.count("len(w) >= 5") == 2 and "< 5" not in sql
-    names = "doc_id, n_lines, n_kept_lines, kept_sha256"
-    want = db.execute(f"SELECT {names} FROM ({sql})").fetchall()
-    got = queries.op2_line_dedup(spark, DIR).select(*names.split(", ")).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-
+    assert [got[i].text for i, _ in docs] == brute.dedup_lines(docs)
 
-def test_pipeline_with_whole_lines(spark, real, monkeypatch):
-    """test_pipeline with the brute force of this file."""
-    import test_document_operators
 
-    monkeypatch.setattr(brute, "dedup_lines", whole)
-    test_document_operators.test_pipeline(spark, real)
+def test_documents_without_lines_can_go(spark):
+    docs = [(1, "one two three four five six\nseven"), (2, "one two three four five six\neight nine"), (3, "ten"), (4, None), (5, ""), (6, "one two three four five six\na b c d e"), (7, "seven\n \n")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), counts=False, least_words=5)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: docs[0][1], 3: "ten", 4: None, 5: "", 6: "a b c d e"}

@@ -9,7 +9,10 @@ import argparse
 import os
 import sys
 import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,26 +35,55 @@ def session() -> SparkSession:
     return spark
 
 
+#: So many files are opened by name; for more the folder is listed.
+NAMED_FILES = 10_000
+
+
+def archives(spark: SparkSession, a: argparse.Namespace, only: DataFrame | None = None) -> DataFrame:
+    """Archive files as read, with their relative paths; of `only` (file) no others are opened.
+
+    Up to NAMED_FILES are named to the reader; beyond, it lists the folder and the others' rows
+    are left out before they are decoded.
+    """
+    top, path = os.path.abspath(a.rrd_dir).rstrip("/") + "/", a.rrd_dir
+    names = [r.file for r in only.select("file").distinct().limit(NAMED_FILES + 1).collect()] if only is not None else []
+    if only is not None and len(names) <= NAMED_FILES:
+        path = [p for p in (os.path.join(top, n) for n in names) if os.path.exists(p)]
+        if not path:
+            return spark.createDataFrame([], rrd.SCHEMA)
+    files = rrd.read_files(spark, path, mode=a.reader, binary=a.dump_binary, only=only.select(F.concat(F.lit(top), "file").alias("path")) if isinstance(path, str) and only is not None else None)
+    return files.withColumn("file", F.expr(f"substring(regexp_replace(file, '^file:/*', '/'), {len(top) + 1})"))
+
+
+def config_of(a: argparse.Namespace) -> documents.TagConfig | None:
+    keys = documents.ConfigKeys(a.config_file, a.tag_prefix, a.categories_key, a.prefer_descr_key, a.keep_names_key)
+    return documents.TagConfig.load(a.home, keys) if a.home else None
+
+
 def load(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, skipped, files) of a repository; files as read, with their relative paths."""
-    items, skipped = repository.resolve(*repository.scan(spark, a.rrd_dir))
-    files = rrd.read_files(spark, a.rrd_dir, mode=a.reader, binary=a.dump_binary)
-    top = os.path.abspath(a.rrd_dir).rstrip("/") + "/"
-    return items, skipped, files.withColumn("file", F.expr(f"substring(regexp_replace(file, '^file:/*', '/'), {len(top) + 1})"))
+    """(items, skipped, files) of a repository."""
+    return *repository.resolve(*repository.scan(spark, a.rrd_dir)), archives(spark, a)
 
 
 def entries_of(items: DataFrame, files: DataFrame) -> DataFrame:
     """One row for each data source of each item, with its sample count and oldest sample."""
-    archives, rows, sources = rrd.tables(files)
-    points = kernel.history(archives, rows, sources.where(S.is_supported(F.col("type"))))
+    shapes, rows, sources = rrd.tables(files)
+    points = kernel.history(shapes, rows, sources.where(S.is_supported(F.col("type"))))
     counts = points.groupBy("file", "ds").agg(F.count("*").alias("n_samples"), F.min("ts").alias("oldest"))
-    each = files.select("file", "error", "step", "last_update", F.explode_outer("sources").alias("s"))
-    each = each.select("file", "error", "step", "last_update", F.col("s.name").alias("ds"), F.col("s.type").alias("ds_type"))
-    return items.join(each, "file").join(counts, ["file", "ds"], "left").na.fill(0, ["n_samples"])
+    each = files.select("file", "error", "step", "last_update", F.posexplode_outer("sources").alias("at", "s"))
+    each = each.select("file", "error", "step", "last_update", "at", F.col("s.name").alias("ds"), F.col("s.type").alias("ds_type"))
+    gone = F.when(F.col("found").isNull(), "no such file").otherwise(F.col("error"))  # since the walk
+    entries = items.join(each.withColumn("found", F.lit(True)), "file", "left").withColumn("error", gone).drop("found")
+    return entries.join(counts, ["file", "ds"], "left").na.fill(0, ["n_samples"])
 
 
 def plan(spark: SparkSession, a: argparse.Namespace) -> int:
-    config = documents.TagConfig.load(a.home) if a.home else None
+    with holding() as hold:
+        return _plan(spark, a, hold)
+
+
+def _plan(spark: SparkSession, a: argparse.Namespace, hold: Callable[[DataFrame], DataFrame]) -> int:
+    config = config_of(a)
     snapshot = documents.Snapshot.load(a.labels)
     if config and snapshot and snapshot.config_hash:
         now = labels.config_hash(config.table(spark), config.expose_categories).first()[0]
@@ -59,10 +91,10 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> int:
             print("the tag configuration has changed since the snapshot", file=sys.stderr)
             return 1
     items, skipped, files = load(spark, a)
-    entries = entries_of(items, files).cache()
-    live = labels.label_index(documents.label_sets(spark, a.labels)).cache()
+    entries = hold(entries_of(items, files))
+    live = hold(labels.label_index(documents.label_sets(spark, a.labels)))
     exported = labels.label_index(documents.label_sets(spark, a.exported)) if a.exported else None
-    done = labels.classify(labels.match(entries, live, exported)).withColumns({"note": F.col("error"), "unresolved": F.array().cast("array<string>")})
+    done = labels.classify(labels.match(entries, live, exported)).withColumn("unresolved", F.array().cast("array<string>"))
     done = done.withColumn("sources", F.when(F.col("labels").isNotNull(), F.transform_values("labels", lambda k, v: F.when(F.col("class") == "MATCHED", "live").otherwise("export"))))
     orphans = done.where("class = 'ORPHAN'")
     cutover = labels.effective_cutover(entries, snapshot.cutover_sec if snapshot else None)
@@ -88,19 +120,23 @@ def plan(spark: SparkSession, a: argparse.Namespace) -> int:
         resolved = labels.with_categories(resolved, labels.resolve_categories(orphans, live, hits))
     joined = orphans.drop("labels", "sources", "unresolved").join(resolved, ["file", "ds"])
     joined = joined.join(scheduled, "resource", "left") if scheduled is not None else joined.withColumn("scheduled", F.lit(False))
-    joined = joined.join(routes.select("resource", (F.col("state") == "GONE").alias("gone")), "resource", "left") if routes is not None else joined.withColumn("gone", F.lit(False))
+    # a node is only asked for, and so found to be gone, where siblings leave something open
+    joined = joined.join(routes.select("resource", (F.col("state") == "GONE").alias("away")), "resource", "left").withColumn("gone", F.col("away") & F.col("needs_node")) if routes is not None else joined.withColumn("gone", F.lit(False))
     judged = labels.classify_orphans(joined, cutover=cutover, pending=not a.no_pending, skip_orphans=a.skip_orphans, skip_partial=a.skip_partial)
-    names = ["file", "resource", "ds", "mtype", "class", "labels", "n_samples", "oldest", "note", "sources", "unresolved"]
-    every = done.where("class <> 'ORPHAN'").select(*names, "candidates").unionByName(judged.select(*names, F.lit(None).cast("array<string>").alias("candidates"))).cache()
+    names = ["file", "resource", "ds", "mtype", "class", "labels", "n_samples", "oldest", "note", "sources", "unresolved", "at"]
+    every = done.where("class <> 'ORPHAN'").select(*names, "candidates").unionByName(judged.select(*names, F.lit(None).cast("array<string>").alias("candidates")))
+    left_out = skipped.select("file", F.lit("SKIPPED").alias("class"), F.col("reason").alias("note"), F.lit(0).cast("long").alias("n_samples"), F.array().cast("array<string>").alias("unresolved"))
+    every = hold(every.unionByName(left_out, allowMissingColumns=True))
     out = every.withColumn("samples", F.col("n_samples")).withColumn("candidates", F.transform("candidates", lambda c: F.create_map(F.lit("labels"), c)))
     hashed = labels.config_hash(config.table(spark), config.expose_categories).first()[0] if config else None
-    documents.write_plan({"rrd_dir": a.rrd_dir, "created": int(time.time()), "cutover": cutover, "config_hash": hashed}, labels.order_entries(out), a.out)
+    header = {"rrd_dir": a.rrd_dir, "created": int(time.time()), "cutover": cutover, "config_hash": hashed, "snapshot": snapshot.snapshot_sec if snapshot else None}
+    documents.write_plan(header, labels.order_entries(out), a.out)
     _lines(a.orphans, verify.orphan_resources(every))
-    _lines(a.not_migrated, verify.not_migrated_list(every).unionByName(skipped.select(F.lit("SKIPPED").alias("class"), F.col("file").alias("what"), F.lit(None).cast("string").alias("ds"), F.col("reason").alias("note"))), "class\tresource\tds\tnote")
+    _lines(a.not_migrated, verify.not_migrated_list(every), "class\tresource\tds\tnote")
     if a.report:
         with open(a.report, "w", encoding="utf-8") as f:
             f.write(report.page(every, config.table(spark) if config else None, {"cutover": cutover}, a.rate))
-    for row in [*verify.class_summary(every).orderBy("class").collect(), verify.plan_summary(every, a.rate).first()]:
+    for row in [*verify.class_summary(every).orderBy("class").collect(), *verify.root_counts(every).collect(), verify.plan_summary(every, a.rate).first()]:
         print(*(f"{k}={v}" for k, v in row.asDict().items()))
     return 0
 
@@ -110,7 +146,7 @@ def _resolved(orphans: DataFrame, config, live: DataFrame, routes, nodes, spark:
     if config is None or not config.tags:
         base = labels.minimal_labels(F.col("resource"), F.col("ds"), F.col("mtype"))
         note = F.array(F.lit("no tag configuration")) if config is None else F.array().cast("array<string>")
-        return orphans.select("file", "ds", base.alias("labels"), F.transform_values(base, lambda k, v: F.lit("minimal")).alias("sources"), note.alias("unresolved"))
+        return orphans.select("file", "ds", base.alias("labels"), F.transform_values(base, lambda k, v: F.lit("minimal")).alias("sources"), note.alias("unresolved"), F.lit(False).alias("needs_node"))
     values = None
     if routes is not None:
         row = {"id": F.col("id"), "label": F.col("label"), "location": F.col("location"), "foreign_source": F.col("foreign_source"), "foreign_id": F.col("foreign_id"), "assets": F.col("assets")}
@@ -128,15 +164,35 @@ def _lines(path: str, rows: DataFrame, head: str | None = None) -> None:
             out.write("\t".join("" if x is None else str(x) for x in r) + "\n")
 
 
-def _history(spark: SparkSession, header: dict, a: argparse.Namespace) -> DataFrame:
+@contextmanager
+def holding() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that keeps tables on disk, until the end: what is read later is read anew."""
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.DISK_ONLY))
+        return held[-1]
+
+    try:
+        yield hold
+    finally:
+        for df in reversed(held):
+            df.unpersist(blocking=True)
+
+
+def _history(spark: SparkSession, header: dict, a: argparse.Namespace, only: DataFrame, hold: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(history, read) of some files (file), opened and decoded once; read: file, error, names of
+    the data sources that can be written."""
     a.rrd_dir = header["rrd_dir"]
-    _, _, files = load(spark, a)
-    archives, rows, sources = rrd.tables(files)
-    return kernel.history(archives, rows, sources.where(S.is_supported(F.col("type"))))
+    files = hold(archives(spark, a, only))
+    shapes, rows, sources = rrd.tables(files)
+    points = hold(kernel.history(shapes, rows, sources.where(S.is_supported(F.col("type")))))
+    supported = F.filter("sources", lambda s: S.is_supported(s["type"]))
+    return points, files.select("file", "error", F.transform(supported, lambda s: s["name"]).alias("names"))
 
 
 def _states(spark: SparkSession, path: str):
-    empty = spark.createDataFrame([], "line int, file string, pass string, status string, samples bigint, attempts int, error string, label_hash string")
+    empty = spark.createDataFrame([], "line struct<block:bigint,row:bigint>, file string, pass string, status string, samples bigint, attempts int, error string, label_hash string")
     return lambda: writing.last_states(documents.read_states(spark, path)) if os.path.exists(path) else empty
 
 
@@ -147,7 +203,7 @@ def backfill(spark: SparkSession, a: argparse.Namespace) -> int:
     if header.get("config_hash") and not a.skip_config_check:
         if not a.home:
             raise Usage("--home is needed to check the tag configuration, or --skip-config-check")
-        config = documents.TagConfig.load(a.home)
+        config = config_of(a)
         if labels.config_hash(config.table(spark), config.expose_categories).first()[0] != header["config_hash"]:
             print("the tag configuration has changed since the plan", file=sys.stderr)
             return 1
@@ -156,18 +212,26 @@ def backfill(spark: SparkSession, a: argparse.Namespace) -> int:
     def guard(turn: str) -> None:
         if not (a.read_url and a.canary):
             return
-        chosen = writing.drawn(entries.where("class IN ('MATCHED', 'PENDING') OR class LIKE 'ORPHAN%'"), F.concat_ws("/", "file", "ds"), a.canary, 1, "class").collect()
-        now, since, found = int(time.time()), header.get("cutover") or 0, []
+        drawn = entries.where("class = 'PENDING' OR labels IS NOT NULL AND (class = 'MATCHED' OR class LIKE 'ORPHAN%')")
+        chosen = writing.drawn(drawn, F.concat_ws("/", "file", "ds"), a.canary, 1, "class").select("class", "resource", "ds", S.label_value(F.col("resource")).alias("r"), S.metric_name(F.col("ds")).alias("m")).collect()
+        now, cutover, found = int(time.time()), header.get("cutover") or 0, []
+        since = header["snapshot"] - DAY if header.get("snapshot") else now - 7 * DAY
         for r in chosen:
-            keys = {"resourceId": r.resource, "__name__": (r.labels or {}).get("__name__", r.ds)}
-            selector = "{" + ",".join(f'{k}="{v}"' for k, v in keys.items()) + "}"
-            found += [(keys["resourceId"], keys["__name__"], x) for x in backend.series(selector, since + 1, now)]
-        live = labels.label_index(spark.createDataFrame([(x,) for _, _, x in found], "labels map<string,string>"))
-        if writing.label_drift(entries, live, canary=a.canary, seed=1).where("kind = 'stop'").limit(1).collect():
+            # a migration writes nothing after the cutover, so orphans that have something there are live
+            start = cutover + 1 if r["class"].startswith("ORPHAN") and cutover else since
+            selector = "{" + ",".join(f'{k}="{rw.quoted(v)}"' for k, v in (("__name__", r.m), ("resourceId", r.r))) + "}"
+            found += [(x,) for x in backend.series(selector, start, now + 1)]
+        live = labels.label_index(spark.createDataFrame(found, "labels map<string,string>"))
+        drift = writing.label_drift(entries, live, canary=a.canary, seed=1).collect()
+        if any(r.kind == "stop" for r in drift):
             raise RuntimeError(f"live labels differ from the plan before pass {turn}; make a new plan")
+        if drift:
+            print(f"{len(drift)} pending series are live now; make a new plan after this one", file=sys.stderr)
 
     options = {"rate": a.rate, "threads": a.threads, "batch_samples": a.batch_samples, "retries": a.max_retries}
-    said = rw.backfill(_history(spark, header, a), entries, backend, state, _states(spark, state), guard=guard, retry_failed=a.retry_failed, **options)
+    with holding() as hold:
+        history, read = _history(spark, header, a, entries.where("labels IS NOT NULL"), hold)
+        said = rw.backfill(history, entries, backend, state, _states(spark, state), read=read, guard=guard, retry_failed=a.retry_failed, say=lambda x: print(x, file=sys.stderr), **options)
     left = verify.not_done(labels.label_hash(entries), _states(spark, state)()).count()
     print(f"{said}: {left} files are left")
     return 2 if said == "PAUSED" else int(left > 0)
@@ -180,16 +244,24 @@ def check(spark: SparkSession, a: argparse.Namespace) -> int:
     states, hashes = _states(spark, os.path.join(a.state_dir, "state.jsonl"))(), labels.label_hash(entries)
     left = verify.not_done(hashes, states)
     files = verify.selection(hashes.select("file"), states, percent=a.sample, seed=a.seed, every=a.all)
-    chosen = entries.where("labels IS NOT NULL").join(files, "file", "left_semi")
-    points = _history(spark, header, a).join(chosen.select("file", "ds", "labels"), ["file", "ds"])
-    expected = points.select(S.canonical(F.col("labels")).alias("canon"), "labels", "counter", "ts", "value")
-    wrong = verify.compare(expected.drop("labels"), rw.read_back_table(expected, rw.Backend(None, a.read_url, a.org_id)), a.tolerance)
-    undone, mismatches = left.limit(20).collect(), wrong.orderBy("canon", "ts").limit(20).collect()
+    with holding() as hold:
+        files = hold(files)
+        chosen = entries.where("labels IS NOT NULL").join(files, "file", "left_semi")
+        history, read = _history(spark, header, a, files, hold)
+        points = history.join(chosen.select("file", "ds", "labels"), ["file", "ds"])
+        expected = points.select(S.canonical(F.col("labels")).alias("canon"), "labels", "counter", "ts", "value")
+        back = hold(rw.read_back_table(expected, rw.Backend(None, a.read_url, a.org_id)))
+        wrong = verify.compare(expected.drop("labels"), back, a.tolerance)
+        unread, undone, mismatches = verify.unread_files(files, read).orderBy("file").limit(20).collect(), left.limit(20).collect(), wrong.orderBy("canon", "ts").limit(20).collect()
     for r in undone:
         print("not done:", r.file)
+    for r in verify.not_migrated(entries).orderBy("class").collect():
+        print("not migrated by plan:", r["class"], r.n)
+    for r in unread:
+        print(r.kind, r.file)
     for r in mismatches:
         print(r.kind, r.canon, r.ts)
-    return int(bool(undone or mismatches))
+    return int(bool(undone or unread or mismatches))
 
 
 def snapshot(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -200,10 +272,10 @@ def snapshot(spark: SparkSession, a: argparse.Namespace) -> int:
     sets = []
     for (node,) in repository.node_prefixes(items).orderBy("node").collect():
         escaped = "".join("\\\\" + c if c in "\\.+*?()|[]{}^$" else c for c in node)
-        sets += [(x,) for x in backend.series('{resourceId=~"' + escaped + '/.+"}', start, now + 1)]
+        sets += [(x,) for x in backend.series('{resourceId=~"' + escaped.replace('"', '\\"') + '/.+"}', start, now + 1)]
     index = labels.label_index(spark.createDataFrame(sets, "labels map<string,string>"))
     documents.write_label_sets(index, a.out)
-    config = documents.TagConfig.load(a.home) if a.home else None
+    config = config_of(a)
     hashed = labels.config_hash(config.table(spark), config.expose_categories).first()[0] if config else None
     keys = [r[0] for r in labels.expected_keys(config.table(spark), config.expose_categories).collect()] if config else None
     documents.Snapshot(now, cutover, a.read_url, hashed, keys).save(a.out)
@@ -239,6 +311,11 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--write-url", "--read-url", "--org-id"):
         link.add_argument(name)
 
+    home = argparse.ArgumentParser(add_help=False)
+    home.add_argument("--home")
+    for name, default in (("--config-file", "file"), ("--tag-prefix", "tags"), ("--categories-key", "categories"), ("--prefer-descr-key", "prefer_descr"), ("--keep-names-key", "keep_names")):
+        home.add_argument(name, default=getattr(documents.ConfigKeys(), default))
+
     def verb(name: str, run, *parents) -> argparse.ArgumentParser:
         p = verbs.add_parser(name, parents=list(parents))
         p.set_defaults(run=run)
@@ -247,15 +324,14 @@ def parser() -> argparse.ArgumentParser:
     p = verb("preflight", probe, link, read)
     p.add_argument("--rrd-dir")
     p.add_argument("--oldest-epoch", type=int)
-    p = verb("snapshot-labels", snapshot, link, read)
+    p = verb("snapshot-labels", snapshot, link, read, home)
     p.add_argument("--rrd-dir", required=True)
     p.add_argument("--since-days", type=int, default=7)
     p.add_argument("--out", default="labels.json")
-    p.add_argument("--home")
-    p = verb("plan", plan, read)
+    p = verb("plan", plan, read, home)
     for name in ("--rrd-dir", "--labels"):
         p.add_argument(name, required=True)
-    for name in ("--exported", "--home", "--report", "--inventory-url", "--inventory-password-file"):
+    for name in ("--exported", "--report", "--inventory-url", "--inventory-password-file"):
         p.add_argument(name)
     p.add_argument("--inventory-user", default="admin")
     for name in ("--no-rest", "--skip-orphans", "--skip-partial", "--no-pending"):
@@ -263,10 +339,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rate", type=float, default=20_000)
     for name, default in (("--out", "plan"), ("--orphans", "orphans.txt"), ("--not-migrated", "not-migrated.txt")):
         p.add_argument(name, default=default)
-    p = verb("backfill", backfill, link, read)
+    p = verb("backfill", backfill, link, read, home)
     p.add_argument("--plan", required=True)
     p.add_argument("--state-dir", default=".")
-    p.add_argument("--home")
     for name in ("--retry-failed", "--skip-config-check"):
         p.add_argument(name, action="store_true")
     p.add_argument("--rate", type=float, default=20_000)

@@ -53,8 +53,8 @@ def dir_of(resource: Column) -> Column:
 
 
 def is_aliased(resource: Column) -> Column:
-    """snmp/<x>/... where x is neither fs nor a number."""
-    return resource.rlike("^snmp/[^/]+/") & ~resource.rlike("^snmp/(fs|[0-9]+)/")
+    """snmp/<x>, also with more behind it, where x is neither fs nor a number."""
+    return resource.rlike("^snmp/[^/]+(/|$)") & ~resource.rlike("^snmp/(fs|[0-9]+)(/|$)")
 
 
 def is_counter(ds_type: Column) -> Column:
@@ -145,13 +145,14 @@ def interface_label(if_name: Column, if_descr: Column, phys_addr: Column, *, pre
     """The directory name of an interface: its name or description, cleaned, with its address.
 
     Every byte that is no ASCII letter or digit becomes _ (so a character of two bytes becomes
-    two); the address is added only if twelve characters are left of it.
+    two).  In the address such bytes become blanks; it is added only if, without the blanks at
+    its ends, it has twelve characters: one with separators is left out.
     """
     first, second = (if_descr, if_name) if prefer_descr else (if_name, if_descr)
     name = F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
     if sanitize:
         name = F.regexp_replace(F.decode(F.encode(name, "UTF-8"), "ISO-8859-1"), "[^a-zA-Z0-9]", "_")
-    mac = F.trim(F.regexp_replace(phys_addr, "[^a-zA-Z0-9]", ""))
+    mac = F.trim(F.regexp_replace(F.decode(F.encode(phys_addr, "UTF-8"), "ISO-8859-1"), "[^a-zA-Z0-9]", " "))
     return F.when(F.length(mac) == 12, F.concat(name, F.lit("-"), mac)).otherwise(name)
 
 
@@ -161,21 +162,24 @@ _CONTEXTS = {"node": "NODE", "asset": "NODE", "interface": "INTERFACE", "service
 
 
 def scope_of(expression: Column) -> Column:
-    """The narrowest context that an expression's ${...} tokens name."""
-    tokens = F.regexp_extract_all(expression, F.lit(r"\$\{([^}]*)\}"), F.lit(1))
-    choices = F.filter(F.flatten(F.transform(tokens, lambda t: F.split(t, r"\|", -1))), lambda c: F.contains(c, F.lit(":")))
+    """The narrowest context that an expression's ${...} tokens name; no token is a constant, one
+    that is open, or names nothing, is unclassified."""
+    token = r"\$\{([^}]*)\}"
+    tokens = F.regexp_extract_all(expression, F.lit(token), F.lit(1))
+    choices = F.filter(F.flatten(F.transform(tokens, lambda t: F.split(t, r"\|", -1))), lambda c: F.locate(":", c) > 1)
 
     def ordinal(choice: Column) -> Column:
         context = F.trim(F.substring_index(choice, ":", 1))
-        out = F.when(context == "", SCOPES.index("UNCLASSIFIED"))
-        for name, scope in _CONTEXTS.items():
+        names = [*_CONTEXTS.items()]
+        out = F.when(context == names[0][0], SCOPES.index(names[0][1]))
+        for name, scope in names[1:]:
             out = out.when(context == name, SCOPES.index(scope))
         return out.otherwise(SCOPES.index("METADATA"))
 
     ordinals = F.transform(choices, ordinal)
-    opened, closed = F.size(F.split(expression, r"\$\{", -1)) - 1, F.size(tokens)
-    bare = F.exists(tokens, lambda t: ~F.contains(t, F.lit(":")))
-    at = F.when(opened == 0, 0).when((opened != closed) | ((F.size(ordinals) == 0) & bare), len(SCOPES) - 1).otherwise(F.array_max(ordinals))
+    last = len(SCOPES) - 1
+    unclosed = F.contains(F.regexp_replace(expression, token, ""), F.lit("${"))
+    at = F.when(expression.isNull() | unclosed, last).when(F.size(tokens) == 0, 0).when(F.size(ordinals) == 0, last).otherwise(F.array_max(ordinals))
     return F.get(F.array(*(F.lit(s) for s in SCOPES)), at)
 
 

@@ -70,11 +70,12 @@ def counter_points(intervals: DataFrame, sources: DataFrame, last_update: DataFr
     The newest reading less what came since the last step is the value at the newest interval's
     end; each known interval takes its rate times its span off.  A seed row carries the first
     value through the window, so that the sum is the sequential fold.  Unknown intervals change
-    nothing.  The reading itself is a point too, unless an interval has one at that time; with
-    no known interval there is none, and an unknown reading counts as 0 without a point.
+    nothing.  The reading itself is a point too, unless an interval has one at that time, and
+    also where all intervals are unknown; without any interval there is none, and an unknown
+    reading counts as 0 without a point.
     """
     steps = intervals.where(known(F.col("value"))).select("file", "ds", "end", "span", (-F.col("value") * F.col("span")).alias("change"), F.lit(1).alias("kind"))
-    heads = sources.join(last_update, "file").join(steps.select("file", "ds").distinct(), ["file", "ds"], "left_semi")
+    heads = sources.join(last_update, "file").join(intervals.select("file", "ds").distinct(), ["file", "ds"], "left_semi")
     pending = F.when(known(F.col("pdp_value")), F.col("pdp_value")).otherwise(0.0)
     first = F.when(known(F.col("last_value")), F.col("last_value") - pending).otherwise(0.0)
     seeds = heads.select("file", "ds", F.lit(None).cast("long").alias("end"), F.lit(None).cast("long").alias("span"), first.alias("change"), F.lit(0).alias("kind"))
@@ -91,11 +92,10 @@ def counter_points(intervals: DataFrame, sources: DataFrame, last_update: DataFr
 
 def history(archives: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
     """(file, ds, counter, ts, value, pass): the whole history of every data source."""
-    intervals = stitch(archives, rows)
     last = archives.groupBy("file").agg(F.max("last_update").alias("last_update"))
-    kinds = sources.select("file", "ds", "counter")
-    gauges = gauge_points(intervals.join(kinds.where("NOT counter"), ["file", "ds"], "left_semi")).withColumn("counter", F.lit(False))
-    counters = counter_points(intervals.join(kinds.where("counter"), ["file", "ds"], "left_semi"), sources.where("counter"), last).withColumn("counter", F.lit(True))
+    intervals = stitch(archives, rows).join(sources.select("file", "ds", "counter"), ["file", "ds"])
+    gauges = gauge_points(intervals.where("NOT counter")).withColumn("counter", F.lit(False))
+    counters = counter_points(intervals.where("counter"), sources.where("counter"), last).withColumn("counter", F.lit(True))
     return with_pass(gauges.unionByName(counters), last)
 
 

@@ -47,7 +47,7 @@ def classify(matched: DataFrame) -> DataFrame:
     """Adds class, labels (what will be written, else NULL) and candidates; ORPHAN is undecided.
 
     Entries that can't be read, of unsupported types, or whose mtype label contradicts the type
-    of the data source are never written.
+    of the data source are never written; `note` says why.
     """
     count = F.when(F.col("n_live") > 0, F.col("n_live")).otherwise(F.col("n_exported"))
     named = (
@@ -59,7 +59,13 @@ def classify(matched: DataFrame) -> DataFrame:
     said = F.element_at(labels, F.lit("mtype"))
     clash = said.isNotNull() & (said != mtype)
     candidates = F.when(named == "AMBIGUOUS", F.when(F.col("n_live") > 0, F.col("live_canon")).otherwise(F.col("exported_canon")))
-    return matched.select("*", mtype.alias("mtype"), F.when(clash, "MTYPE_MISMATCH").otherwise(named).alias("class"), F.when(~clash, labels).alias("labels"), candidates.alias("candidates"))
+    note = (
+        F.when(named == "FAILED_READ", F.col("error")).when(named == "SKIPPED", F.concat(F.lit("data sources of type "), "ds_type", F.lit(" are not supported")))
+        .when(named == "AMBIGUOUS", F.concat(count, F.when(F.col("n_live") > 0, " live label sets").otherwise(" exported label sets")))
+        .when(clash, F.concat(F.lit("the label mtype is "), said, F.lit(", the data source is "), "ds_type"))
+    )
+    kept = [c for c in matched.columns if c not in ("mtype", "class", "labels", "candidates", "note")]
+    return matched.select(*kept, mtype.alias("mtype"), F.when(clash, "MTYPE_MISMATCH").otherwise(named).alias("class"), F.when(~clash, labels).alias("labels"), candidates.alias("candidates"), note.alias("note"))
 
 
 def minimal_labels(resource: Column, ds: Column, mtype: Column) -> Column:
@@ -139,18 +145,30 @@ def category_agreement(index: DataFrame, level: str) -> DataFrame:
     return agreed.where("n = 1").drop("n")
 
 
+def last_put(entries: Column) -> Column:
+    """A map of an array of struct(k, v): of entries with one key the last counts, as in a map that is filled in order."""
+    keys = F.transform(entries, lambda e: e["k"])
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["k"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+
+
 def category_labels(names: Column) -> Column:
-    """cat_<name> = name for each category, and all of them sorted and joined."""
-    each = F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(F.concat(F.lit("cat_"), S.label_name(n)), S.label_value(n))))
-    return F.map_concat(each, F.create_map(F.lit("categories"), F.array_join(F.array_sort(names), ",")))
+    """cat_<name> = name for each category, and all of them sorted and joined; no label without a category.
+
+    Of names that are the same label the last, in order, counts; empty values are no labels.
+    """
+    ordered = F.array_sort(F.array_distinct(F.array_compact(names)))
+    each = F.transform(ordered, lambda n: F.struct(S.label_name(F.concat(F.lit("cat_"), n)).alias("k"), S.label_value(n).alias("v")))
+    whole = F.array(F.struct(F.lit("categories").alias("k"), S.label_value(F.array_join(ordered, ",")).alias("v")))
+    return last_put(F.filter(F.concat(each, whole), lambda e: e["v"] != ""))
 
 
 def resolve_categories(orphans: DataFrame, index: DataFrame, node_categories: DataFrame | None = None) -> DataFrame:
     """(file, ds, categories, category_source): the category labels of orphans.
 
     The first level that has siblings decides, if their category labels are all the same; else
-    the node's categories count (node_categories: file, ds, names, node_id); else NULL, which
-    is unresolved.
+    the node's categories count (node_categories: file, ds, names, node_id), also if it has
+    none; else both are NULL, which is unresolved.
     """
     live = index.where(F.contains("resource_id", F.lit("/")))
     levels = F.array(*(F.struct(F.lit(x).alias("level"), _level_key(x, F.col("resource_id")).alias("place")) for x in LEVELS))
@@ -169,7 +187,10 @@ def resolve_categories(orphans: DataFrame, index: DataFrame, node_categories: Da
 
 
 def with_categories(resolved: DataFrame, categories: DataFrame) -> DataFrame:
-    """resolved() with category labels added, or `categories` among the unresolved."""
+    """resolved() with category labels added, or `categories` among the unresolved.
+
+    An entry whose categories no sibling tells needs its node.
+    """
     both = resolved.join(categories, ["file", "ds"], "left")
     empty = F.create_map().cast("map<string,string>")
     found = F.coalesce("categories", empty)
@@ -178,6 +199,7 @@ def with_categories(resolved: DataFrame, categories: DataFrame) -> DataFrame:
     return both.select(
         "file", "ds", F.map_concat(free, found).alias("labels"), F.map_concat(kept, F.transform_values(found, lambda k, v: F.col("category_source"))).alias("sources"),
         F.when(F.col("categories").isNull(), F.array_append("unresolved", F.lit("categories"))).otherwise(F.col("unresolved")).alias("unresolved"),
+        (F.col("needs_node") | ~F.startswith(F.coalesce("category_source", F.lit("")), F.lit("sibling:"))).alias("needs_node"),
     )
 
 
@@ -185,7 +207,7 @@ def node_criteria(resource: Column) -> Column:
     """How a resource's node is asked for: ip:<address>, fs:fid, a number, or NULL for an alias."""
     part = lambda i: F.get(F.split(resource, "/"), i)
     return (
-        F.when(F.startswith(resource, F.lit("response/")), F.concat(F.lit("ip:"), part(1))).when(F.startswith(resource, F.lit("snmp/fs/")), F.concat_ws(":", part(2), part(3)))
+        F.when(F.startswith(resource, F.lit("response/")), F.concat(F.lit("ip:"), part(1))).when(F.startswith(resource, F.lit("snmp/fs/")), F.concat(part(2), F.lit(":"), part(3)))
         .when(resource.rlike("^snmp/[0-9]+(/|$)"), part(1))
     )
 
@@ -205,11 +227,15 @@ def route_nodes(resources: DataFrame, nodes: DataFrame, addresses: DataFrame) ->
 
 
 def interface_of(resource: Column) -> Column:
-    """The interface directory of a resource below a node: domain/alias, or the parent's name."""
-    parts = F.split(resource, "/")
-    deep = F.startswith(resource, F.lit("snmp/")) & (F.length(resource) > F.length(S.node_prefix(resource)) + 1)
+    """The interface directory of a resource below an interface: domain/alias, or the parent's name.
+
+    NULL for resources of the node itself (nothing stands between node and group) and all that
+    aren't below snmp.
+    """
+    parts, depth = F.split(resource, "/"), F.size(F.split(S.node_prefix(resource), "/"))
+    deep = F.startswith(resource, F.lit("snmp/")) & (F.size(parts) - 1 > depth)
     aliased = F.concat_ws("/", F.get(parts, 1), F.get(parts, 2))
-    return F.when(deep & S.is_aliased(resource), aliased).when(deep, F.get(F.split(S.dir_of(resource), "/"), F.size(F.split(S.dir_of(resource), "/")) - 1))
+    return F.when(deep & S.is_aliased(resource), aliased).when(deep, F.get(parts, F.size(parts) - 2))
 
 
 def scheduled(resources: DataFrame, interfaces: DataFrame, *, prefer_descr: bool = False, sanitize: bool = True) -> DataFrame:
@@ -220,11 +246,13 @@ def scheduled(resources: DataFrame, interfaces: DataFrame, *, prefer_descr: bool
 
 
 def resolve(orphans: DataFrame, tags: DataFrame, index: DataFrame, node_values: DataFrame | None = None) -> DataFrame:
-    """(file, ds, labels, sources, unresolved): labels of orphans, tag by tag.
+    """(file, ds, labels, sources, unresolved, needs_node): labels of orphans, tag by tag.
 
-    Order: constants, the siblings' common value, left out where no sibling has the label, the
-    node's value for tags of node scope (node_values: file, ds, tag, value, node_id), else
-    unresolved.  Values that are null or empty aren't stored.
+    Order: constants, the interface directory for its own expression, the siblings' common value,
+    left out where no sibling has the label, the node's value for tags of node scope
+    (node_values: file, ds, tag, value, node_id), else unresolved.  Values that are null or
+    empty aren't stored.  Tags whose names are one label are put in their order, so the last
+    counts, over the minimal labels too.  needs_node tells whether a tag asked for the node.
     """
     found = orphans.select("file", "ds", "resource", "mtype").crossJoin(F.broadcast(tags)).join(lookup(orphans, tags, index), ["file", "ds", "tag"], "left")
     if node_values is not None:
@@ -233,19 +261,22 @@ def resolve(orphans: DataFrame, tags: DataFrame, index: DataFrame, node_values:
         found = found.withColumn("node_value", F.lit(None).cast("string")).withColumn("node_id", F.lit(None).cast("long"))
     constant, agreed = F.col("scope") == "CONSTANT", F.col("state") == "VALUE"
     rest = (F.col("scope") == "NODE") & F.col("node_value").isNotNull()
-    by_dir = F.col("expression") == "${resource:label}"
-    value = F.when(constant, F.col("expression")).when(by_dir, F.get(F.split("resource", "/"), F.size(F.split("resource", "/")) - 1)).when(agreed, F.col("value")).when(F.col("state") == "EMPTY", None).when(rest, F.col("node_value"))
+    interface = interface_of(F.col("resource"))
+    by_dir = (F.trim("expression") == "${resource:label}") & interface.isNotNull()
+    value = F.when(constant, F.col("expression")).when(by_dir, interface).when(agreed, F.col("value")).when(F.col("state") == "EMPTY", None).when(rest, F.col("node_value"))
     source = F.when(constant, "constant").when(by_dir, "derived:resource-dir").when(agreed, F.concat(F.lit("sibling:"), F.col("source"))).when(rest, F.concat(F.lit("rest:node/"), F.col("node_id")))
     open_tag = ~constant & ~by_dir & ~F.coalesce(agreed, F.lit(False)) & ~F.coalesce(F.col("state") == "EMPTY", F.lit(False)) & ~F.coalesce(rest, F.lit(False))
-    put = F.when(value.isNotNull() & (value != ""), F.struct(S.label_name(F.col("tag")).alias("k"), S.label_value(value).alias("v"), source.alias("s")))
+    put = F.when(value.isNotNull() & (value != ""), F.struct("tag", S.label_name(F.col("tag")).alias("k"), S.label_value(value).alias("v"), source.alias("s")))
+    node = (F.col("scope") == "NODE") & ~by_dir & ~F.coalesce(F.col("state").isin("VALUE", "EMPTY"), F.lit(False))
+    unresolved = F.transform(F.array_sort(F.collect_set(F.when(open_tag, F.col("tag")))), S.label_name)
     grouped = found.groupBy("file", "ds").agg(
-        F.first("resource").alias("resource"), F.first("mtype").alias("mtype"), F.array_sort(F.collect_list(put)).alias("put"), F.array_sort(F.collect_set(F.when(open_tag, F.col("tag")))).alias("unresolved")
+        F.first("resource").alias("resource"), F.first("mtype").alias("mtype"), F.array_sort(F.collect_list(put)).alias("put"), unresolved.alias("unresolved"), F.bool_or(node).alias("needs_node")
     )
-    base = minimal_labels(F.col("resource"), F.col("ds"), F.col("mtype"))
-    free = F.filter("put", lambda p: ~p["k"].isin("__name__", "resourceId", "mtype"))
-    labels = F.map_concat(base, F.map_from_entries(F.transform(free, lambda p: F.struct(p["k"], p["v"]))))
-    sources = F.map_concat(F.transform_values(base, lambda k, v: F.lit("minimal")), F.map_from_entries(F.transform(free, lambda p: F.struct(p["k"], p["s"]))))
-    return grouped.select("file", "ds", labels.alias("labels"), sources.alias("sources"), "unresolved")
+    base = F.map_entries(minimal_labels(F.col("resource"), F.col("ds"), F.col("mtype")))
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    labels = F.concat(F.transform(base, lambda e: entry(e["key"], e["value"])), F.transform("put", lambda p: entry(p["k"], p["v"])))
+    sources = F.concat(F.transform(base, lambda e: entry(e["key"], F.lit("minimal"))), F.transform("put", lambda p: entry(p["k"], p["s"])))
+    return grouped.select("file", "ds", last_put(labels).alias("labels"), last_put(sources).alias("sources"), "unresolved", "needs_node")
 
 
 def classify_orphans(orphans: DataFrame, *, cutover: int, pending: bool = True, skip_orphans: bool = False, skip_partial: bool = False) -> DataFrame:
@@ -263,7 +294,12 @@ def classify_orphans(orphans: DataFrame, *, cutover: int, pending: bool = True,
     labels = F.when(~dropped, F.when(gone, minimal_labels(F.col("resource"), F.col("ds"), F.col("mtype"))).otherwise(F.col("labels")))
     again = S.iso_instant(F.lit(cutover) + 2 * F.col("step"))
     note = F.when(waits & writing, F.concat(F.lit("still written at the cutover; run again after "), again)).when(waits, F.concat(F.lit("scheduled for collection; run again after "), again))
-    note = note.when(named == "ORPHAN_PARTIAL", F.concat(F.lit("unresolved: "), F.array_join("unresolved", ", ")))
+    why = F.when(gone, "the inventory does not know the node").when(named == "ORPHAN_PARTIAL", F.concat(F.lit("unresolved: "), F.array_join("unresolved", ", ")))
+    if skip_orphans:
+        why = F.lit("left out by --skip-orphans")
+    elif skip_partial:
+        why = F.when(named == "ORPHAN_PARTIAL", F.concat(why, F.lit(" (left out by --skip-partial)"))).otherwise(why)
+    note = note.otherwise(why)
     return orphans.withColumns({"class": named, "labels": labels, "note": note, "unresolved": F.when(gone, F.array().cast("array<string>")).otherwise(F.col("unresolved"))})
 
 
@@ -284,9 +320,13 @@ def expected_keys(tags: DataFrame, expose_categories: bool) -> DataFrame:
 
 
 def order_entries(entries: DataFrame) -> DataFrame:
-    """Skipped files first, then files by path, then all orphans."""
-    section = F.when(F.col("class").isin("SKIPPED", "FAILED_READ"), 0).when(S.is_orphan(F.col("class")) | (F.col("class") == "PENDING"), 2).otherwise(1)
-    return entries.orderBy(section, "file", "ds")
+    """What the walk left out (it has no resource) by path, then files by path and their data
+    sources in the order of the file (`at`), then all orphans in the same order."""
+    return entries.orderBy(section(), "file", F.col("at").asc_nulls_first())
+
+
+def section() -> Column:
+    return F.when(F.col("resource").isNull(), 0).when(S.is_orphan(F.col("class")) | (F.col("class") == "PENDING"), 2).otherwise(1)
 
 
 def colliding_names(entries: DataFrame) -> DataFrame:

@@ -36,9 +36,14 @@ def selection(files: DataFrame, states: DataFrame, *, percent: float, seed: int,
 def compare(expected: DataFrame, stored: DataFrame, tolerance: float) -> DataFrame:
     """(canon, ts, kind): missing, value or delta.  expected: canon, counter, ts, value; stored: canon, ts, value.
 
-    Gauges compare values; counters compare the increase since the expected time before, within
+    Series that the backend could not be asked for (stored has a row with an `error` for them, if
+    it has that column) are one mismatch of kind read, at no time.  Gauges compare values; counters compare the increase since the expected time before, within
     the tolerance of the largest of the four values.  NaN agrees with nothing.
     """
+    unread = None
+    if "error" in stored.columns:
+        unread = stored.where("error IS NOT NULL").select("canon").distinct()
+        expected = expected.join(unread, "canon", "left_anti")
     both = expected.join(stored.select("canon", "ts", F.col("value").alias("got")), ["canon", "ts"], "left")
     order = Window.partitionBy("canon").orderBy("ts")
     both = both.withColumn("value0", F.lag("value").over(order)).withColumn("got0", F.lag("got").over(order))
@@ -48,7 +53,20 @@ def compare(expected: DataFrame, stored: DataFrame, tolerance: float) -> DataFra
     nan = F.isnan("value") | F.isnan("got") | F.isnan("value0") | F.isnan("got0")
     wrong_delta = F.col("value0").isNotNull() & F.col("got0").isNotNull() & (nan | ~(drift <= eps * most))
     kind = F.when(F.col("got").isNull(), "missing").when(~F.col("counter") & ~S.is_close(F.col("value"), F.col("got"), eps), "value").when(F.col("counter") & wrong_delta, "delta")
-    return both.withColumn("kind", kind).where("kind IS NOT NULL").select("canon", "ts", "kind")
+    wrong = both.withColumn("kind", kind).where("kind IS NOT NULL").select("canon", "ts", "kind")
+    return wrong if unread is None else wrong.unionByName(unread.select("canon", F.lit(None).cast("long").alias("ts"), F.lit("read").alias("kind")))
+
+
+def unread_files(files: DataFrame, read: DataFrame) -> DataFrame:
+    """(file, kind): a mismatch of kind read for each file to verify that is gone or can't be read.  read: file, error."""
+    good = read.where("error IS NULL").select("file")
+    return files.select("file").distinct().join(good, "file", "left_anti").select("file", F.lit("read").alias("kind"))
+
+
+def root_counts(entries: DataFrame) -> DataFrame:
+    """(root, n): entries of each root of the tree."""
+    rows = entries.where("resource IS NOT NULL")
+    return rows.groupBy(F.get(F.split("resource", "/"), 0).alias("root")).agg(F.count("*").alias("n")).orderBy("root")
 
 
 def class_summary(entries: DataFrame) -> DataFrame:

@@ -29,6 +29,37 @@ def todo(files: DataFrame, states: DataFrame, *, retry_failed: bool = False) ->
     return both.withColumn("rewrite", F.coalesce(changed, F.lit(False))).where(F.col("status").isNull() | F.col("rewrite")).select(*files.columns, "rewrite")
 
 
+def rewritten(todo: DataFrame) -> int:
+    """How many files are written again because their planned labels changed."""
+    return todo.where("rewrite").count()
+
+
+def unwritable(files: DataFrame, entries: DataFrame, read: DataFrame) -> DataFrame:
+    """(file, error) of the files of a pass that can't be written.
+
+    entries: file, ds, labels; read: file, error, names (data sources that can be written) of the
+    archive files as found now.  A file that is gone or can't be read, and one without a planned
+    data source (the first by name is told), is never written in part.
+    """
+    planned = entries.where("labels IS NOT NULL").join(files.select("file"), "file", "left_semi").groupBy("file").agg(F.array_sort(F.collect_set("ds")).alias("planned"))
+    both = planned.join(read.select("file", "names", "error", F.lit(True).alias("found")), "file", "left")
+    lost = F.get(F.array_except("planned", F.coalesce("names", F.array().cast("array<string>"))), 0)
+    error = (
+        F.when(F.col("found").isNull(), "read: no such file").when(F.col("error").isNotNull(), F.concat(F.lit("read: "), "error"))
+        .when(lost.isNotNull(), F.concat(F.lit("planned data source "), lost, F.lit(" missing from file")))
+    )
+    return both.select("file", error.alias("error")).where("error IS NOT NULL")
+
+
+def outcomes(files: DataFrame, bad: DataFrame, sent: DataFrame) -> DataFrame:
+    """(file, status, samples, attempts, error) of the files of a pass: FAILED for the unwritable,
+    what the writers say (sent), and DONE for readable files that have nothing in the pass."""
+    failed = bad.select("file", F.lit("FAILED").alias("status"), F.lit(0).cast("long").alias("samples"), F.lit(1).alias("attempts"), "error")
+    rest = files.select("file").join(bad, "file", "left_anti").join(sent, "file", "left_anti")
+    empty = rest.select("file", F.lit("DONE").alias("status"), F.lit(0).cast("long").alias("samples"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error"))
+    return failed.unionByName(sent.select(*failed.columns)).unionByName(empty)
+
+
 def file_order(entries: DataFrame) -> DataFrame:
     """(file, has_orphan, first): files without an orphan first, else in the order of the plan."""
     grouped = entries.where("labels IS NOT NULL").groupBy("file").agg(F.bool_or(S.is_orphan(F.col("class"))).alias("has_orphan"), F.min("position").alias("first"))
@@ -79,8 +110,19 @@ def write_schedule(sizes: list[int], rate: float, arrivals: list[float] | None =
 
 
 def drawn(rows: DataFrame, key: Column, n: int, seed: int, *by: str) -> DataFrame:
-    """At most n rows of each stratum, by a seeded hash of their key."""
-    turn = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), key)
+    """At most n rows of each stratum, or of all, by a seeded hash of their key.
+
+    Without strata no task sorts all rows: hashes are even, so all but about n rows lie above a
+    bound that the count gives, and only the others are sorted.  Should fewer than n lie below
+    it, all rows are.
+    """
+    drawn_by = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    if not by:
+        total = rows.count()
+        bound = int(16**12 * min(1.0, (n + 8 * n**0.5 + 8) / max(1, total)))
+        below = rows.where(F.substring(drawn_by, 1, 12) < F.lit(f"{bound:012x}")) if bound < 16**12 else rows
+        return (below if below.count() >= min(n, total) else rows).orderBy(drawn_by, key).limit(n)
+    turn = Window.partitionBy(*by).orderBy(drawn_by, key)
     return rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).drop("turn")
 
 

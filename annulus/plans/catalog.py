@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import kernel, labels, verify, writing
+from ..sources import inventory, repository
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,7 +64,12 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def counter_history(spark, d):
-    points = kernel.history(_archives(spark, d), _rows(spark, d), _sources(spark, d))
+    # and a file whose rows are all unknown, with a known reading
+    archives, rows, sources = _archives(spark, d), _rows(spark, d), _sources(spark, d)
+    archives = archives.unionByName(spark.sql(f"SELECT 'silent' AS file, 0 AS rra, 'AVERAGE' AS cf, 1L AS pdp, 3L AS n, {STEP}L AS step, 1700000100L AS last_update").select(archives.columns))
+    rows = rows.unionByName(spark.range(3).select(F.lit("silent").alias("file"), F.lit(0).alias("rra"), F.col("id").alias("row"), F.lit("value").alias("ds"), F.lit(None).cast("double").alias("value")))
+    sources = sources.unionByName(spark.sql("SELECT 'silent' AS file, 'value' AS ds, true AS counter, 42D AS last_value, 1D AS pdp_value"))
+    points = kernel.history(archives, rows, sources)
     return points.select("file", "ts", F.round("value", 3).alias("value"), "pass")
 
 
@@ -230,10 +236,22 @@ def category_agreement(spark, d):
     return out.select("place", S.canonical(F.col("categories")).alias("categories"))
 
 
+@query
+def category_resolution(spark, d):
+    """Siblings' categories, else those of the node: some have names that are one label, some none."""
+    cats = F.create_map(F.lit("categories"), F.when(F.col("n_regionkey") < 2, F.lit("core")).otherwise(F.element_at("labels", F.lit("segment"))))
+    live = labels.label_index(_label_sets(spark, d).where("c_custkey % 2 = 0").select(F.map_concat("labels", cats).alias("labels")))
+    orphans = _orphans(spark, d).where("c_custkey % 2 = 1")
+    names = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("a b"), F.col("n_name"), F.lit("a-b"))).otherwise(F.array().cast("array<string>"))
+    nodes = orphans.where("c_custkey % 3 < 2").select("file", "ds", names.alias("names"), F.col("c_custkey").alias("node_id"))
+    out = labels.resolve_categories(orphans, live, nodes).join(orphans.select("file", "ds", "c_custkey"), ["file", "ds"])
+    return out.select("c_custkey", F.when(F.col("categories").isNotNull(), S.canonical(F.col("categories"))).alias("categories"), "category_source")
+
+
 @query
 def tag_resolution(spark, d):
     live = labels.label_index(_label_sets(spark, d).where("c_custkey % 2 = 0").select("labels"))
-    tags = spark.sql("SELECT * FROM VALUES ('site', 'lab', 'CONSTANT'), ('node', '${node:label}', 'NODE'), ('segment', '${interface:x}', 'INTERFACE'), ('rack', '${asset:rack}', 'NODE') AS t(tag, expression, scope)")
+    tags = spark.sql("SELECT * FROM VALUES ('site', 'lab', 'CONSTANT'), ('node', '${node:label}', 'NODE'), ('segment', '${interface:x}', 'INTERFACE'), ('rack', '${asset:rack}', 'NODE'), ('a.x', 'two', 'CONSTANT'), ('a-x', 'one', 'CONSTANT') AS t(tag, expression, scope)")
     orphans = _orphans(spark, d).where("c_custkey % 2 = 1")
     out = labels.resolve(orphans, tags, live).join(orphans.select("file", "ds", "c_custkey"), ["file", "ds"])
     return out.select("c_custkey", S.canonical(F.col("labels")).alias("labels"), F.array_join("unresolved", ",").alias("unresolved"))
@@ -258,16 +276,30 @@ def scheduled_semi(spark, d):
     return labels.scheduled(resources, interfaces)
 
 
+def _walked(spark, d):
+    """First and second lines of orders as the .rrd and .jrb file of a base; two of three orders name theirs."""
+    place, ext = F.concat(F.lit("snmp/"), F.col("l_orderkey") % 10), F.when(F.col("l_linenumber") == 1, "rrd").otherwise("jrb")
+    lines = _t(spark, d, "lineitem").where("l_linenumber <= 2").groupBy(place.alias("dir"), F.concat(F.lit("g"), "l_orderkey").alias("base"), ext.alias("ext")).agg(F.max(S.epoch_seconds("l_shipdate")).cast("double").alias("mtime"))
+    listing = lines.withColumn("name", F.concat_ws(".", "base", "ext")).withColumn("path", F.concat_ws("/", "dir", "name"))
+    by_group, key = F.col("o_orderstatus") != "P", F.col("o_orderkey")
+    groups = _t(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.concat(F.lit("snmp/"), key % 10).alias("dir"), F.concat(F.lit("g"), key).alias("base"), F.concat(F.when(by_group, "g").otherwise("m"), key).alias("grp"), by_group.alias("by_group"))
+    return repository.resolve(listing, groups, spark.createDataFrame([], repository.SKIPPED))
+
+
 @query
 def missing_anti(spark, d):
-    return _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    return _walked(spark, d)[1].where("reason LIKE 'no file%'")
+
+
+@query
+def stray_files(spark, d):
+    return _walked(spark, d)[1].where("reason = 'no group information'")
 
 
 @query
 def duplicate_pick(spark, d):
-    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(F.desc("l_shipdate"), "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    ranked = _t(spark, d, "lineitem").withColumn("turn", F.row_number().over(order))
-    return ranked.where("turn = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    items, skipped = _walked(spark, d)
+    return items.select("file", "resource", "grp", F.lit(None).cast("string").alias("reason")).unionByName(skipped.where("reason LIKE 'older%'"), allowMissingColumns=True)
 
 
 @query
@@ -326,8 +358,9 @@ def node_expressions(spark, d):
 @query
 def interface_labels(spark, d):
     parts = _t(spark, d, "part")
-    mac = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("00:11:22:33:44:"), F.lpad((F.col("p_partkey") % 90 + 10).cast("string"), 2, "0"))).otherwise("n/a")
-    return parts.select("p_partkey", S.interface_label(F.when(F.col("p_partkey") % 5 == 0, F.lit("")).otherwise(F.col("p_name")), F.col("p_type"), mac).alias("by_name"), S.interface_label(F.col("p_name"), F.col("p_type"), mac, prefer_descr=True, sanitize=False).alias("by_descr"))
+    last, part = (F.col("p_partkey") % 90 + 10).cast("string"), F.col("p_partkey") % 5
+    mac = F.when(part == 0, F.concat(F.lit("00:11:22:33:44:"), last)).when(part == 1, F.concat(F.lit("0011223344"), last)).when(part == 2, F.concat(F.lit("/0011223344"), last, F.lit("-"))).when(part == 3, F.concat(F.lit("0011.223.44"), F.substring(last, 1, 1))).otherwise("n/a")
+    return parts.select("p_partkey", S.interface_label(F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_name")), F.col("p_type"), mac).alias("by_name"), S.interface_label(F.col("p_name"), F.col("p_type"), mac, prefer_descr=True, sanitize=False).alias("by_descr"))
 
 
 @query
@@ -369,6 +402,18 @@ def json_props(spark, d):
     return _t(spark, d, "events").select("event_id", F.element_at(parsed, F.lit("k")).alias("k"), F.size(F.map_filter(parsed, lambda k, v: v.isNotNull() & (v != ""))).alias("n"))
 
 
+@query
+def node_json(spark, d):
+    """An inventory's answers, made of customers: empty and null fields, an object and a number among the assets."""
+    customers = _t(spark, d, "customer")
+    answer = F.concat(
+        F.lit('{"id":"'), "c_custkey", F.lit('","label":"'), "c_name", F.lit('","foreignSource":null,"x":[1],"categories":[{"name":"a"},{"name":"'), "c_mktsegment", F.lit('"}],"assetRecord":{"building-name":"'), "c_mktsegment",
+        F.lit('","rack":"","floor":null,"geo":{"x":1},"unit-no-x":'), "c_custkey", F.lit("}}"),
+    )
+    node = inventory.node_columns(F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit('{"id":'), "c_custkey", F.lit("}"))).otherwise(answer))
+    return customers.select("c_custkey", node["id"].alias("id"), node["label"].alias("label"), node["foreign_source"].alias("foreign_source"), F.array_join(node["categories"], ",").alias("categories"), S.canonical(node["assets"]).alias("assets"))
+
+
 def _states(spark, d):
     """Line items as the lines of a state log: of file, pass, status, attempts and hash."""
     lines = _t(spark, d, "lineitem")
@@ -403,6 +448,45 @@ def batch_slices(spark, d):
     return writing.chunks(own, 200).groupBy("file", "chunk").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
+@query
+def batch_packing(spark, d):
+    samples = _samples(spark, d).withColumn("ds", F.concat(F.lit("d"), F.col("event_id") % 3))
+    return writing.batches(samples.groupBy("file", "ds", "ts").agg(F.max("cents").alias("value")), 200)
+
+
+@query
+def plan_order(spark, d):
+    """The order of a plan: what the walk left out, matched entries, orphans; numbered within customers."""
+    entries = _classified(spark, d).withColumn("at", F.lit(0))
+    left_out = _t(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("snmp/"), "o_custkey", F.lit("/stray"), "o_orderkey").alias("file"), F.lit("SKIPPED").alias("class"), "o_custkey")
+    every = entries.select("file", "resource", "class", "at", F.get(F.split("file", "/"), 1).cast("long").alias("o_custkey")).unionByName(left_out, allowMissingColumns=True)
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("section", "file", F.col("at").asc_nulls_first()))
+    return labels.order_entries(every).withColumn("section", labels.section()).select("file", "section", turn.alias("turn"))
+
+
+def _processed(spark, d):
+    """(todo, planned, read): orders as files, of which some are gone, unreadable or lack a planned data source."""
+    planned = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.concat(F.lit("ds"), "l_linenumber").alias("ds"), F.create_map(F.lit("part"), F.col("l_partkey").cast("string")).alias("labels"))
+    key = F.col("o_orderkey")
+    names = F.transform(F.sequence(F.lit(1), F.when(key % 5 == 0, 2).otherwise(7)), lambda i: F.concat(F.lit("ds"), i))
+    read = _t(spark, d, "orders").where("o_orderkey % 89 <> 0").select(key.alias("file"), F.when(key % 97 == 0, "cannot read").alias("error"), F.when(key % 97 != 0, names).alias("names"))
+    return writing.todo(_files(spark, d), _states(spark, d).where("pass = 'RECENT'")), planned, read
+
+
+@query
+def process_outcome(spark, d):
+    todo, planned, read = _processed(spark, d)
+    bad = writing.unwritable(todo, planned, read)
+    sent = todo.where("file % 2 = 0").join(bad, "file", "left_anti").select("file", F.lit("DONE").alias("status"), F.lit(5).cast("long").alias("samples"), F.lit(2).alias("attempts"), F.lit(None).cast("string").alias("error"))
+    return writing.outcomes(todo, bad, sent)
+
+
+@query
+def rewrite_count(spark, d):
+    todo = writing.todo(_files(spark, d), _states(spark, d).where("pass = 'RECENT'"))
+    return spark.range(1).select(F.lit(writing.rewritten(todo)).cast("long").alias("n"))
+
+
 @query
 def file_order(spark, d):
     entries = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.when(F.col("l_returnflag") == "N", "ORPHAN_COMPLETE").otherwise("MATCHED").alias("class"), F.create_map(F.lit("a"), F.lit("b")).alias("labels"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"))
@@ -443,6 +527,16 @@ def verify_compare(spark, d):
     return verify.compare(expected.drop("cents"), got, 1e-3)
 
 
+@query
+def verify_read_errors(spark, d):
+    """Files and series that can't be read are mismatches too."""
+    files = verify.unread_files(_files(spark, d), _processed(spark, d)[2])
+    expected, refused = _expected(spark, d), F.col("canon") >= "s"
+    got = expected.select("canon", F.when(~refused, F.col("ts")).alias("ts"), F.when(~refused, F.col("value")).alias("value"), F.when(refused, "HTTP 500").alias("error"))
+    series = verify.compare(expected.drop("cents"), got, 0.0)
+    return files.select(F.col("file").cast("string").alias("what"), "kind").unionByName(series.select(F.col("canon").alias("what"), "kind"))
+
+
 @query
 def verify_counter_delta(spark, d):
     own = Window.partitionBy("canon").orderBy("ts")
@@ -462,6 +556,12 @@ def class_summary(spark, d):
     return verify.class_summary(_classified(spark, d))
 
 
+@query
+def root_counts(spark, d):
+    entries = _classified(spark, d).select(F.concat(F.when(F.col("o_orderkey") % 3 == 0, "response").otherwise("snmp"), F.substring("resource", 5, 100)).alias("resource"))
+    return verify.root_counts(entries)
+
+
 @query
 def label_coverage(spark, d):
     return verify.label_coverage(_classified(spark, d), ["MATCHED", "EXPORTED"])
@@ -488,7 +588,7 @@ def eta_estimate(spark, d):
 
 @query
 def not_migrated_list(spark, d):
-    return verify.not_migrated_list(_classified(spark, d).withColumn("note", F.col("error")))
+    return verify.not_migrated_list(_classified(spark, d))
 
 
 @query

@@ -97,6 +97,24 @@ _STATES = """log AS (
   FROM lineitem
 ), states AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY file, pass ORDER BY line DESC) = 1),
 files AS (SELECT o_orderkey AS file, (o_orderkey % 2)::VARCHAR AS label_hash FROM orders)"""
+_PROCESSED = """todo AS (
+  SELECT f.file FROM files f LEFT JOIN states s ON s.file = f.file AND s.pass = 'RECENT'
+  WHERE s.status IS NULL OR s.status = 'DONE' AND s.label_hash IS NOT NULL AND s.label_hash <> f.label_hash
+), planned AS (
+  SELECT l_orderkey AS file, min('ds' || l_linenumber) FILTER (l_linenumber > 7 OR l_orderkey % 5 = 0 AND l_linenumber > 2) AS lost FROM lineitem GROUP BY 1
+), judged AS (
+  SELECT t.file, CASE WHEN p.file IS NULL THEN NULL WHEN t.file % 89 = 0 THEN 'read: no such file' WHEN t.file % 97 = 0 THEN 'read: cannot read'
+    WHEN p.lost IS NOT NULL THEN 'planned data source ' || p.lost || ' missing from file' END AS error
+  FROM todo t LEFT JOIN planned p USING (file)
+)"""
+_WALKED = """files AS (
+  SELECT 'snmp/' || (l_orderkey % 10) AS dir, l_orderkey AS k, CASE l_linenumber WHEN 1 THEN 'rrd' ELSE 'jrb' END AS ext, 'g' || l_orderkey || '.' || CASE l_linenumber WHEN 1 THEN 'rrd' ELSE 'jrb' END AS name, max(l_shipdate) AS m
+  FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL
+), named AS (
+  SELECT 'snmp/' || (o_orderkey % 10) AS dir, o_orderkey AS k, CASE WHEN o_orderstatus <> 'P' THEN 'g' ELSE 'm' END || o_orderkey AS grp, o_orderstatus <> 'P' AS by_group FROM orders WHERE o_orderkey % 3 <> 0
+), ranked AS (
+  SELECT f.*, grp, row_number() OVER w AS turn, first(name) OVER w AS winner FROM files f JOIN named n ON n.k = f.k WINDOW w AS (PARTITION BY f.k ORDER BY m DESC, ext = 'rrd' DESC)
+)"""
 _ISO = "strftime(make_timestamp(({}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 _Q = "replace(replace(replace({}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')"
 _RX = "regexp_replace({}, '([\\\\.+*?()|\\[\\]{{}}^$])', '\\\\\\1', 'g')"
@@ -132,7 +150,7 @@ WITH {_STITCHED}, heads AS (
   UNION ALL SELECT file, e - span, after, 1, -e FROM folded WHERE kind = 1
   UNION ALL SELECT file, last_update, reading, 0, 0 FROM heads
 ), best AS (SELECT file, ts, arg_max(value, (prio, turn)) AS value FROM points GROUP BY file, ts)
-SELECT file, ts, round(value, 3) AS value, {_PASS} FROM best JOIN lasts USING (file)""",
+SELECT file, ts, round(value, 3) AS value, {_PASS} FROM best JOIN lasts USING (file) UNION ALL SELECT 'silent', 1700000100, 42, 'RECENT'""",
     "gauge_history": f"""
 WITH {_STITCHED} SELECT file, "end" AS ts, value, CASE WHEN "end" > last_update - 604800 THEN 'RECENT' ELSE 'OLDER' END AS pass
 FROM stitched JOIN lasts USING (file) WHERE NOT partial AND value IS NOT NULL""",
@@ -150,7 +168,7 @@ deltas AS (SELECT *, v - lag(v) OVER (PARTITION BY file ORDER BY ts, event_id) A
 SELECT file, event_id, CASE WHEN d < 0 THEN d + 4294967295 ELSE d END AS delta FROM deltas""",
     "ring_unroll": f"""
 WITH {_SAMPLES}, slots AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts, event_id) - 1 AS slot FROM samples)
-SELECT file, slot, (slot - 8 + 24) % 24 AS row, cents FROM slots WHERE slot < 24""",
+SELECT file, slot, (slot % 24 - 8 + 24) % 24 AS row, cents FROM slots""",
     "series_assembly": f"""
 WITH {_SAMPLES}, points AS (SELECT file, ts, max(cents) AS v FROM samples GROUP BY file, ts)
 SELECT file, count(*) AS n, min(ts) * 1000 AS first_ms, sha256(string_agg(v::VARCHAR, ',' ORDER BY ts)) AS values_sha256 FROM points GROUP BY file""",
@@ -166,7 +184,7 @@ WITH {_ORPHANS}, top AS (SELECT max(last_update) AS c FROM orphans), judged AS (
   SELECT *, CASE WHEN NOT gone AND (writing OR scheduled) THEN 'PENDING' WHEN gone THEN 'ORPHAN_MINIMAL' WHEN c_custkey % 4 <> 0 THEN 'ORPHAN_COMPLETE' ELSE 'ORPHAN_PARTIAL' END AS class FROM judged
 )
 SELECT c_custkey, class, CASE WHEN class = 'PENDING' THEN CASE WHEN writing THEN 'still written at the cutover' ELSE 'scheduled for collection' END || '; run again after ' || {_ISO.format("c + 172800")}
-  WHEN class = 'ORPHAN_PARTIAL' THEN 'unresolved: site' END AS note, class IN ('ORPHAN_MINIMAL', 'ORPHAN_COMPLETE') AS written FROM named""",
+  WHEN class = 'ORPHAN_MINIMAL' THEN 'the inventory does not know the node' WHEN class = 'ORPHAN_PARTIAL' THEN 'unresolved: site (left out by --skip-partial)' END AS note, class IN ('ORPHAN_MINIMAL', 'ORPHAN_COMPLETE') AS written FROM named""",
     "sibling_agreement": f"""
 WITH {_LEVELS}, total AS (SELECT level, place, count(*) AS siblings FROM placed GROUP BY ALL),
 byl AS (SELECT level, place, label, count(*) AS held, count(DISTINCT v) AS distinct_values, min(v) AS value FROM each GROUP BY ALL)
@@ -177,13 +195,13 @@ SELECT c_custkey, 'node' AS tag, CASE WHEN names = 1 THEN 'VALUE' ELSE 'CONFLICT
 UNION ALL SELECT c_custkey, 'segment', CASE WHEN segs = 1 THEN 'VALUE' ELSE 'CONFLICT' END, seg FROM odd JOIN by_dir ON place = {_DIR}
 UNION ALL SELECT c_custkey, 'segment2', 'EMPTY', NULL FROM odd JOIN by_dir ON place = {_DIR}""",
     "category_agreement": f"""
-WITH {_SETS}, c AS (SELECT {_DIR} AS place, CASE WHEN n_regionkey < 2 THEN 'core' ELSE segment END AS cat FROM sets WHERE c_custkey % 100 < 50)
+WITH {_SETS}, c AS (SELECT {_DIR} AS place, CASE WHEN n_regionkey < 2 THEN 'core' ELSE segment END AS cat FROM sets)
 SELECT place, 'categories=' || min(cat) AS categories FROM c GROUP BY place HAVING count(DISTINCT cat) = 1""",
     "tag_resolution": f"""
 WITH {_TAGGED}, looked AS (
   SELECT o.*, n.names, n.name, d.segs, d.seg FROM odd o LEFT JOIN by_node n ON n.place = {_NODE} LEFT JOIN by_dir d ON d.place = {_DIR}
 )
-SELECT c_custkey, '__name__=acctbal,mtype=gauge' || CASE WHEN names = 1 THEN ',node=' || name ELSE '' END || ',resourceId=' || resource || CASE WHEN segs = 1 THEN ',segment=' || seg ELSE '' END || ',site=lab' AS labels,
+SELECT c_custkey, '__name__=acctbal,a_x=two,mtype=gauge' || CASE WHEN names = 1 THEN ',node=' || name ELSE '' END || ',resourceId=' || resource || CASE WHEN segs = 1 THEN ',segment=' || seg ELSE '' END || ',site=lab' AS labels,
   array_to_string(list_filter([CASE WHEN names = 1 THEN NULL ELSE 'node' END, CASE WHEN names IS NULL THEN 'rack' END, CASE WHEN segs = 1 THEN NULL ELSE 'segment' END], lambda x: x IS NOT NULL), ',') AS unresolved
 FROM looked""",
     "node_route": """
@@ -198,10 +216,50 @@ SELECT resource, CASE WHEN kind = 3 THEN 'UNKNOWN' WHEN n = 1 THEN 'HIT' WHEN n
     "scheduled_semi": """
 SELECT DISTINCT 'snmp/' || c_nationkey || '/if_' || (c_custkey % 50) || '/x' AS resource FROM customer
 WHERE (c_nationkey, c_custkey % 50) IN (SELECT s_nationkey, s_suppkey % 50 FROM supplier WHERE s_suppkey % 3 <> 0)""",
-    "missing_anti": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
-    "duplicate_pick": """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
-QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey, l_suppkey, l_extendedprice, l_quantity) = 1""",
+    "missing_anti": f"""
+WITH {_WALKED} SELECT dir || '/g' || k AS file, CASE WHEN by_group THEN 'no file for this group' ELSE 'no file for this metric' END AS reason FROM named WHERE k NOT IN (SELECT k FROM files)""",
+    "stray_files": f"WITH {_WALKED} SELECT dir || '/' || name AS file, 'no group information' AS reason FROM files WHERE k NOT IN (SELECT k FROM named)",
+    "duplicate_pick": f"""
+WITH {_WALKED} SELECT dir || '/' || name AS file, dir || '/' || grp AS resource, grp, NULL::VARCHAR AS reason FROM ranked WHERE turn = 1
+UNION ALL SELECT dir || '/' || name, NULL, NULL, 'older duplicate of ' || winner FROM ranked WHERE turn > 1""",
+    "category_resolution": f"""
+WITH {_TAGGED}, firsts AS (SELECT {_NODE} AS place, min(resource) AS first FROM live GROUP BY 1),
+segs AS (SELECT {_NODE} AS place, count(DISTINCT segment) AS n, min(segment) AS seg FROM live GROUP BY 1),
+looked AS (
+  SELECT o.*, first, CASE WHEN n_regionkey < 2 AND first IS NOT NULL THEN 'core' WHEN s.n = 1 THEN s.seg END AS cat, regexp_replace(n_name, '[^a-zA-Z0-9_]', '_', 'g') AS label
+  FROM odd o LEFT JOIN firsts f ON f.place = {_NODE} LEFT JOIN segs s ON s.place = {_NODE}
+)
+SELECT c_custkey, CASE WHEN cat IS NOT NULL THEN 'categories=' || cat WHEN c_custkey % 3 = 0 THEN 'cat_' || label || '=' || n_name || ',cat_a_b=a-b,categories=' || n_name || '\\,a b\\,a-b' WHEN c_custkey % 3 = 1 THEN '' END AS categories,
+  CASE WHEN cat IS NOT NULL THEN 'sibling:' || first WHEN c_custkey % 3 < 2 THEN 'rest:node/' || c_custkey END AS category_source FROM looked""",
+    "node_json": """
+SELECT c_custkey, c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS label, NULL::VARCHAR AS foreign_source, CASE WHEN c_custkey % 7 <> 0 THEN 'a,' || c_mktsegment ELSE '' END AS categories,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'buildingName=' || c_mktsegment || ',unitNoX=' || c_custkey ELSE '' END AS assets FROM customer""",
+    "batch_packing": f"""
+WITH RECURSIVE {_SAMPLES}, p AS (SELECT DISTINCT file, 'd' || (event_id % 3) AS ds, ts FROM samples),
+c AS (SELECT *, (row_number() OVER (PARTITION BY file, ds ORDER BY ts) - 1) // 200 AS chunk FROM p),
+o AS (SELECT file, ds, chunk, count(*) AS n, row_number() OVER (PARTITION BY file ORDER BY ds, chunk) AS r FROM c GROUP BY file, ds, chunk),
+packed AS (
+  SELECT file, ds, chunk, n, r, 0::BIGINT AS batch, n AS filled FROM o WHERE r = 1
+  UNION ALL SELECT o.file, o.ds, o.chunk, o.n, o.r, CASE WHEN q.filled + o.n > 200 THEN q.batch + 1 ELSE q.batch END, CASE WHEN q.filled + o.n > 200 THEN o.n ELSE q.filled + o.n END
+  FROM packed q JOIN o ON o.file = q.file AND o.r = q.r + 1
+)
+SELECT file, ds, chunk, n, batch FROM packed""",
+    "plan_order": f"""
+WITH {_CLASSIFIED}, every AS (
+  SELECT resource || '/value' AS file, CASE WHEN class = 'ORPHAN' THEN 2 ELSE 1 END AS section, split_part(resource, '/', 2)::BIGINT AS cust FROM classified
+  UNION ALL SELECT 'snmp/' || o_custkey || '/stray' || o_orderkey, 0, o_custkey FROM orders WHERE o_orderkey % 50 = 0
+)
+SELECT file, section, row_number() OVER (PARTITION BY cust ORDER BY section, file)::INT AS turn FROM every""",
+    "process_outcome": f"""
+WITH {_STATES}, {_PROCESSED}
+SELECT file, CASE WHEN error IS NULL THEN 'DONE' ELSE 'FAILED' END AS status, CASE WHEN error IS NULL AND file % 2 = 0 THEN 5 ELSE 0 END::BIGINT AS samples,
+  CASE WHEN error IS NULL AND file % 2 = 0 THEN 2 ELSE 1 END AS attempts, error FROM judged""",
+    "rewrite_count": f"""
+WITH {_STATES} SELECT count(*) AS n FROM files f JOIN states s ON s.file = f.file AND s.pass = 'RECENT' WHERE s.status = 'DONE' AND s.label_hash IS NOT NULL AND s.label_hash <> f.label_hash""",
+    "verify_read_errors": f"""
+WITH {_EXPECTED} SELECT o_orderkey::VARCHAR AS what, 'read' AS kind FROM orders WHERE o_orderkey % 89 = 0 OR o_orderkey % 97 = 0
+UNION ALL SELECT DISTINCT canon, 'read' FROM expected WHERE canon >= 's'""",
+    "root_counts": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'response' ELSE 'snmp' END AS root, count(*) AS n FROM orders GROUP BY 1",
     "label_hash": """
 WITH e AS (SELECT l_orderkey AS file, 'ds' || l_linenumber || '|part=' || l_partkey || ',supplier=' || l_suppkey AS t FROM lineitem)
 SELECT file, sha256(string_agg(t, chr(10) ORDER BY t)) AS label_hash FROM e GROUP BY file""",
@@ -222,8 +280,8 @@ SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN n_name ELSE c_name END AS lab
   c_mktsegment || '!' AS asset, NULL::VARCHAR AS unknown, CASE WHEN c_custkey % 2 = 0 THEN 'fs' ELSE 'standby' END AS literal
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "interface_labels": """
-WITH p AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN '-0011223344' || lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') ELSE '' END AS mac FROM part)
-SELECT p_partkey, regexp_replace(CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_name END, '[^a-zA-Z0-9]', '_', 'g') || mac AS by_name, p_type || mac AS by_descr FROM p""",
+WITH p AS (SELECT *, CASE WHEN p_partkey % 5 IN (1, 2) THEN '-0011223344' || (p_partkey % 90 + 10) WHEN p_partkey % 5 = 3 THEN '-0011 223 44' || left((p_partkey % 90 + 10)::VARCHAR, 1) ELSE '' END AS mac FROM part)
+SELECT p_partkey, regexp_replace(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END, '[^a-zA-Z0-9]', '_', 'g') || mac AS by_name, p_type || mac AS by_descr FROM p""",
     "selectors": f"""
 SELECT page_id, {_Q.format(_HARD)} AS quoted, {_RX.format(_HARD)} AS escaped, '{{a="' || page_id || '",url="' || {_Q.format(_HARD)} || '"}}' AS exact,
   '{{resourceId=~"' || {_Q.format(_RX.format(_HARD))} || '/.+"}}' AS prefix FROM pages""",
@@ -267,7 +325,7 @@ SELECT canon, ts, 'delta' AS kind FROM w WHERE v0 IS NOT NULL AND NOT (abs((got
     "verify_select": f"""
 WITH {_STATES}, n AS (SELECT greatest(1, ceil(count(*) * 1.0 / 100)) AS n FROM files),
 d AS (SELECT file FROM files QUALIFY row_number() OVER (ORDER BY md5('1:' || file), file) <= (SELECT n FROM n))
-SELECT file FROM d UNION SELECT file FROM states WHERE attempts > 2""",
+SELECT file FROM d UNION SELECT file FROM states WHERE attempts > 1""",
     "class_summary": f"WITH {_CLASSIFIED} SELECT class, count(*) FILTER (written) AS written, count(*) FILTER (NOT written) AS not_written FROM classified GROUP BY class",
     "label_coverage": f"""
 WITH {_CLASSIFIED}, c AS (SELECT count(*) FILTER (class = 'MATCHED') AS "MATCHED", count(*) FILTER (class = 'EXPORTED') AS "EXPORTED", count(*) AS total FROM classified WHERE written)
@@ -278,7 +336,10 @@ WITH {_ORPHANS} SELECT {_NODE} AS node, count(*) AS n, CASE WHEN bool_or(c_custk
     "eta_estimate": f"""
 WITH {_SAMPLES}, s AS (SELECT count(DISTINCT file) AS series, count(*) * 1000 AS samples, min(ts) AS oldest FROM samples)
 SELECT *, (samples // 500 // 3600) || 'h ' || (samples // 500 % 3600 // 60) || 'm' AS eta FROM s""",
-    "not_migrated_list": f"WITH {_CLASSIFIED} SELECT class, resource AS what, 'value' AS ds, error AS note FROM classified WHERE NOT written",
+    "not_migrated_list": f"""
+WITH {_CLASSIFIED} SELECT class, resource AS what, 'value' AS ds, CASE class WHEN 'FAILED_READ' THEN error WHEN 'SKIPPED' THEN 'data sources of type ' || ds_type || ' are not supported'
+  WHEN 'AMBIGUOUS' THEN found || CASE WHEN n_live > 0 THEN ' live label sets' ELSE ' exported label sets' END
+  WHEN 'MTYPE_MISMATCH' THEN 'the label mtype is ' || said || ', the data source is ' || ds_type END AS note FROM classified WHERE NOT written""",
     "orphan_resources": f"WITH {_CLASSIFIED} SELECT DISTINCT resource FROM classified WHERE class = 'ORPHAN'",
     "explain_resource": f"""
 WITH {_SETS}, f AS (SELECT * FROM sets WHERE resource = (SELECT min(resource) FROM sets))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,21 @@ from .repository import properties
 STATE = "file string, pass string, status string, samples bigint, attempts int, error string, labelHash string"
 PLAN_ENTRY = (
     "file string, resource string, ds string, mtype string, class string, labels map<string,string>, samples bigint, "
-    "note string, sources map<string,string>, candidates array<map<string,string>>, unresolved array<string>"
+    "note string, sources map<string,string>, candidates array<map<string,string>>, unresolved array<string>, at int"
 )
-#: Fixed: the properties that hold tags and switches.
-TAG_PREFIX, EXPOSE, PREFER_DESCR, KEEP_NAMES = "metatags.", "metatags.exposeCategories", "metatags.preferIfDescr", "metatags.dontSanitizeIfName"
 
 
 def label_sets(spark: SparkSession, path: str) -> DataFrame:
-    """(labels): a JSON array of string maps."""
+    """(labels): a JSON array of string maps.
+
+    A file with whole maps on its lines, as write_label_sets() writes it, and one of JSON lines
+    are read in parts by many tasks; one whose maps span lines is read whole.
+    """
+    line = F.regexp_replace(F.trim("value"), r"^\[?\s*(.*?)\s*,?\s*\]?$", "$1")
+    held = F.from_json(F.concat(F.lit("["), "line", F.lit("]")), "array<map<string,string>>")
+    lines = spark.read.text(path).select(line.alias("line")).where("line <> ''").select(held.alias("held"))
+    if not lines.where("held IS NULL").limit(1).count():
+        return lines.select(F.explode("held").alias("labels"))
     rows = spark.read.text(path, wholetext=True)
     return rows.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("labels"))
 
@@ -78,23 +86,25 @@ def write_plan(header: dict, entries: DataFrame, path: str) -> None:
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """State lines with their numbers; torn, null and foreign lines are left out.
+    """State lines with their places (`line`, which sorts as the lines do); torn, null and foreign
+    lines are left out.
 
-    A state log is written by one driver, line by line, so it is read as one file.
+    The log is one file, read in parts: a place is the part's begin and the row within it.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(place.alias("line"), "value")
     parsed = lines.select("line", F.from_json("value", STATE, {"mode": "PERMISSIVE"}).alias("s")).select("line", "s.*")
     return parsed.where("file IS NOT NULL AND pass IS NOT NULL AND status IS NOT NULL").withColumnRenamed("labelHash", "label_hash")
 
 
 class StateLog:
-    """Append-only JSON lines, synced one by one; a torn last line is closed first."""
+    """Append-only JSON lines, synced one by one, also from several threads; a torn last line is closed first."""
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path, self.lock = path, threading.Lock()
 
     def append(self, **entry: object) -> None:
-        with open(self.path, "ab+") as out:
+        with self.lock, open(self.path, "ab+") as out:
             if out.tell():
                 out.seek(-1, os.SEEK_END)
                 if out.read(1) != b"\n":
@@ -104,6 +114,18 @@ class StateLog:
             os.fsync(out.fileno())
 
 
+@dataclass(frozen=True)
+class ConfigKeys:
+    """Where a home keeps its tag configuration: the name of the main file below etc (any
+    *.properties if empty), the prefix of tags, and the keys of the switches."""
+
+    file: str = ""
+    tags: str = "metatags."
+    categories: str = "metatags.exposeCategories"
+    prefer_descr: str = "metatags.preferIfDescr"
+    keep_names: str = "metatags.dontSanitizeIfName"
+
+
 @dataclass
 class TagConfig:
     tags: dict[str, str]
@@ -112,19 +134,23 @@ class TagConfig:
     keep_names: bool = False
 
     @classmethod
-    def load(cls, home: str) -> TagConfig:
-        """From etc/*.properties of a home folder; later files win, a missing etc is empty."""
+    def load(cls, home: str, keys: ConfigKeys = ConfigKeys()) -> TagConfig:  # noqa: B008
+        """From the main file(s) below etc, then *.properties of their .d folders by name; later
+        files win, a missing etc is empty."""
         if not os.path.isdir(home):
             raise NotADirectoryError(home)
         etc, found = os.path.join(home, "etc"), {}
-        main = [os.path.join(etc, n) for n in sorted(os.listdir(etc)) if n.endswith(".properties")] if os.path.isdir(etc) else []
-        extra = [os.path.join(etc, d, n) for d in (sorted(os.listdir(etc)) if os.path.isdir(etc) else []) if d.endswith(".properties.d") for n in sorted(os.listdir(os.path.join(etc, d))) if n.endswith(".properties")]
+        here = sorted(os.listdir(etc)) if os.path.isdir(etc) else []
+        main = [n for n in here if (n == keys.file if keys.file else n.endswith(".properties")) and os.path.isfile(os.path.join(etc, n))]
+        folders = [n for n in here if (n == keys.file + ".d" if keys.file else n.endswith(".properties.d")) and os.path.isdir(os.path.join(etc, n))]
+        extra = [os.path.join(d, n) for d in folders for n in sorted(os.listdir(os.path.join(etc, d))) if n.endswith(".properties")]
         for path in main + extra:
-            with open(path, "rb") as f:
+            with open(os.path.join(etc, path), "rb") as f:
                 found |= properties(f.read())
-        said = lambda k: found.get(k, "").strip().lower() == "true"
-        tags = {k.removeprefix(TAG_PREFIX): v for k, v in found.items() if k.startswith(TAG_PREFIX) and k not in (EXPOSE, PREFER_DESCR, KEEP_NAMES)}
-        return cls(dict(sorted(tags.items())), said(EXPOSE), said(PREFER_DESCR), said(KEEP_NAMES))
+        said = lambda k: found.get(k, "").lower() == "true"
+        switches = (keys.categories, keys.prefer_descr, keys.keep_names)
+        tags = {k.removeprefix(keys.tags): v for k, v in found.items() if k.startswith(keys.tags) and k not in switches}
+        return cls(dict(sorted(tags.items())), *map(said, switches))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(tag, expression, scope)"""

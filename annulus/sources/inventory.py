@@ -9,7 +9,8 @@ import urllib.parse
 import urllib.request
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scalars import camel
 
@@ -27,6 +28,23 @@ def parse_node(node: dict) -> dict:
     }
 
 
+#: What of a node's answer is read; the record's values stay JSON, so that texts and objects can be told apart.
+_ANSWER = "id string, label string, location string, foreignSource string, foreignId string, categories array<struct<name:string>>, assetRecord map<string,variant>"
+
+
+def node_columns(answer: Column) -> dict[str, Column]:
+    """parse_node() as column expressions over answers as JSON texts."""
+    node = F.from_json(answer, _ANSWER)
+    kept = F.map_filter(node["assetRecord"], lambda k, v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)") & (v.cast("string") != ""))
+    head = lambda k: F.split(k, "-")
+    camel_key = lambda k: F.concat(F.get(head(k), 0), F.array_join(F.transform(F.slice(head(k), F.lit(2), F.size(head(k))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), ""))
+    texts = F.transform(F.map_entries(F.coalesce(kept, F.create_map().cast("map<string,variant>"))), lambda e: F.struct(camel_key(e["key"]).alias("key"), e["value"].cast("string").alias("value")))
+    return {
+        "id": node["id"].cast("long"), "label": node["label"], "location": node["location"], "foreign_source": node["foreignSource"], "foreign_id": node["foreignId"],
+        "categories": F.coalesce(F.transform(node["categories"], lambda c: c["name"]), F.array().cast("array<string>")), "assets": F.map_from_entries(texts),
+    }
+
+
 @dataclass
 class Inventory:
     url: str

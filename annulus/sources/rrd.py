@@ -28,6 +28,7 @@ from ..shipping import ship
 MAGIC, VERSION, COOKIE = b"RRD\0", b"0003\0", 8.642135e130
 HEAD, DS_DEF, RRA_DEF, LIVE_HEAD, PDP_PREP, CDP_PREP = 128, 120, 120, 16, 112, 80
 NAN = float("nan")
+DUMP_SECONDS = 300
 
 SCHEMA = (
     "file string, error string, version string, step bigint, last_update bigint, "
@@ -197,8 +198,8 @@ def parse_dump(raw: bytes) -> ArchiveFile:
 
 
 def dump(path: str, binary: str) -> bytes:
-    """An XML dump by an external program, opt-in."""
-    done = subprocess.run([binary, "dump", path], capture_output=True)
+    """An XML dump by an external program, opt-in; one that takes longer than DUMP_SECONDS is an error."""
+    done = subprocess.run([binary, "dump", path], capture_output=True, timeout=DUMP_SECONDS)
     if done.returncode:
         raise OSError(f"dump failed with {done.returncode}: {done.stderr[:2048].decode('utf-8', 'replace')}")
     return done.stdout
@@ -233,10 +234,13 @@ def arrow_schema() -> pa.Schema:
     return pa.schema([("file", pa.string()), ("error", pa.string()), ("version", pa.string()), ("step", pa.int64()), ("last_update", pa.int64()), ("sources", pa.list_(source)), ("archives", pa.list_(archive))])
 
 
-def read_files(spark: SparkSession, path: str, *, pattern: str = "*.{rrd,jrb,xml}", mode: str = "native", binary: str | None = None) -> DataFrame:
-    """SCHEMA rows of all files below a path that Spark's own readers can open."""
+def read_files(spark: SparkSession, path: str | list[str], *, pattern: str = "*.{rrd,jrb,xml}", mode: str = "native", binary: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    """SCHEMA rows of all files below a path, or of the files of a list, that Spark's own readers
+    can open; of `only` (path, without a scheme) no others are decoded."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    if only is not None:
+        files = files.join(only.distinct().withColumnRenamed("path", "__path"), F.regexp_replace("path", "^[a-z0-9]+:/*", "/") == F.col("__path"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

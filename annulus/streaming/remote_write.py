@@ -2,26 +2,34 @@
 
 Delivery is at least once and idempotent by (labels, time).  Each file is one unit of work: its
 outcome is a row, also when the backend stays away (`paused`), so Spark doesn't retry it and the
-driver can stop before the next pass.  The driver alone appends to the state log.
+driver can stop before the next pass.  The driver alone appends to the state log, file by file:
+a small server on it gives all writers one rate and one stop flag and takes their outcomes.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import secrets
+import socket
+import socketserver
 import struct
+import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.scalars import canonical
 from ..operators import writing
 from ..shipping import ship
@@ -151,26 +159,106 @@ class RateLimiter:
     """Samples a second over all that share it: the first goes at once, idle time is no credit."""
 
     def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.rate, self.clock, self.sleep, self.free = rate, clock, sleep, -math.inf
+        self.rate, self.clock, self.sleep, self.free, self.lock = rate, clock, sleep, -math.inf, threading.Lock()
 
-    def acquire(self, n: int) -> None:
+    def reserve(self, n: int) -> float:
+        """Seconds to wait before n samples may go."""
         if self.rate <= 0:
-            return
-        start = max(self.clock(), self.free)
-        self.free = start + n / self.rate
-        if (wait := start - self.clock()) > 0:
+            return 0.0
+        with self.lock:
+            now = self.clock()
+            start = max(now, self.free)
+            self.free = start + n / self.rate
+        return start - now
+
+    def acquire(self, n: int) -> None:
+        if (wait := self.reserve(n)) > 0:
+            self.sleep(wait)
+
+    def stopped(self) -> str | None:
+        return None
+
+    def report(self, outcome: dict) -> None:
+        pass
+
+
+class Governor:
+    """On the driver: one rate, one stop flag and one book of outcomes for all writers of a pass.
+
+    Writers send lines of JSON with the pass's token; each is answered by one line.
+    """
+
+    def __init__(self, rate: float, host: str, book: Callable[[dict], None] = lambda _: None) -> None:
+        self.limiter, self.why, token, own, lock = RateLimiter(rate), None, secrets.token_hex(16), self, threading.Lock()
+
+        class Handler(socketserver.StreamRequestHandler):
+            def handle(self) -> None:
+                for line in self.rfile:
+                    said = json.loads(line)
+                    if said.pop("token", None) != token:
+                        return
+                    answer = {"wait": own.limiter.reserve(said["acquire"]) if "acquire" in said else 0.0}
+                    if "outcome" in said:
+                        if said["outcome"]["status"] == "PAUSED":
+                            own.why = own.why or said["outcome"]["error"]
+                        with lock:
+                            book(said["outcome"])
+                    self.wfile.write(json.dumps(answer | {"stop": own.why}).encode() + b"\n")
+
+        class Server(socketserver.ThreadingTCPServer):
+            daemon_threads = allow_reuse_address = True
+
+        self.server = Server(("", 0), Handler)
+        self.address = (host, self.server.server_address[1], token)
+
+    def __enter__(self) -> Governor:
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
+class Link:
+    """A writer's end of a Governor, with the interface of a RateLimiter."""
+
+    def __init__(self, address: tuple[str, int, str], sleep: Callable[[float], None] = time.sleep) -> None:
+        self.address, self.sleep, self.file = address, sleep, None
+
+    def _ask(self, **said: object) -> dict:
+        try:
+            if self.file is None:
+                self.file = socket.create_connection(self.address[:2], CONNECT_SECONDS).makefile("rwb")
+            self.file.write(json.dumps(said | {"token": self.address[2]}).encode() + b"\n")
+            self.file.flush()
+            return json.loads(self.file.readline())
+        except (OSError, ValueError) as x:  # no matter of the backend: the task fails and is run again
+            raise RuntimeError(f"the driver's rate and outcome server can't be reached: {x}") from x
+
+    def acquire(self, n: int) -> None:
+        if (wait := self._ask(acquire=n)["wait"]) > 0:
             self.sleep(wait)
 
+    def stopped(self) -> str | None:
+        return self._ask()["stop"]
+
+    def report(self, outcome: dict) -> None:
+        self._ask(outcome=outcome)
+
 
 class Paused(Exception):
     """The backend stays away: try later."""
 
 
-def send(backend: Backend, series: list[Series], limiter: RateLimiter, retries: int, sleep: Callable[[float], None] = time.sleep) -> int:
-    """How many attempts a request took; refusals are raised, exhausted retries raise Paused."""
+def send(backend: Backend, series: list[Series], limiter: RateLimiter | Link, retries: int, sleep: Callable[[float], None] = time.sleep) -> int:
+    """How many attempts a request took; refusals are raised, exhausted retries raise Paused.
+
+    The rate counts samples once, whatever the attempts.
+    """
     waits = [*writing.attempts(retries)]
+    limiter.acquire(sum(len(t) for _, t, _ in series))
     for attempt in range(1, retries + 2):
-        limiter.acquire(sum(len(t) for _, t, _ in series))
         try:
             backend.write(series)
             return attempt
@@ -189,19 +277,28 @@ def send(backend: Backend, series: list[Series], limiter: RateLimiter, retries:
 OUTCOME = "file string, status string, samples bigint, attempts int, error string"
 
 
-def write_files(samples: DataFrame, labels: DataFrame, backend: Backend, *, rate: float = 20_000, threads: int = 4, batch_samples: int = 2_000, retries: int = 5) -> DataFrame:
+def write_files(samples: DataFrame, labels: DataFrame, backend: Backend, *, rate: float = 20_000, threads: int = 4, batch_samples: int = 2_000, retries: int = 5, governor: tuple[str, int, str] | None = None) -> DataFrame:
     """OUTCOME of each file: DONE, FAILED or PAUSED.
 
-    samples: file, ds, ts, value of one pass; labels: file, ds, labels.  Files are dealt to
-    `threads` tasks that share the rate evenly; rows come sorted, and a task holds one batch.
+    samples: file, ds, ts, value of one pass; labels: file, ds, labels, and class if there is
+    one: files with an orphan come last.  Files are dealt to `threads` tasks; rows come sorted,
+    and a task holds one batch.  The tasks share the rate and the stop flag of the governor at
+    that address and report each file to it; without one they share the rate evenly.
     """
     ship(samples.sparkSession)
-    rows = samples.join(labels.select("file", "ds", F.to_json("labels").alias("labels")), ["file", "ds"])
-    ordered = rows.select("file", "ds", "labels", "ts", "value").repartition(threads, "file").sortWithinPartitions("file", "ds", "ts")
+    late = F.bool_or(S.is_orphan(F.col("class"))) if "class" in labels.columns else F.bool_or(F.lit(False))
+    order = labels.groupBy("file").agg(late.alias("late"))
+    rows = samples.join(labels.select("file", "ds", F.to_json("labels").alias("labels")), ["file", "ds"]).join(order, "file")
+    ordered = rows.select("file", "ds", "labels", "ts", "value", "late").repartition(threads, "file").sortWithinPartitions("late", "file", "ds", "ts").drop("late")
     share = rate / threads if rate > 0 else 0.0
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter, now, state, batch, filled, stopped = RateLimiter(share), None, None, {}, 0, False
+        limiter, now, state, batch, filled = Link(governor) if governor else RateLimiter(share), None, None, {}, 0
+        stopped = None
+
+        def begin(file: str) -> dict:
+            why = stopped or limiter.stopped()
+            return {"file": file, "status": "PAUSED" if why else "DONE", "samples": 0, "attempts": 1, "error": why}
 
         def flush() -> None:
             nonlocal batch, filled, stopped
@@ -211,19 +308,23 @@ def write_files(samples: DataFrame, labels: DataFrame, backend: Backend, *, rate
                     state["samples"] += filled
                 except Paused as x:
                     state.update(status="PAUSED", error=str(x))
-                    stopped = True
+                    stopped = str(x)
                 except OSError as x:
                     state.update(status="FAILED", error=str(x), attempts=max(state["attempts"], getattr(x, "attempts", 1)))
             batch, filled = {}, 0
 
+        def end() -> dict:
+            flush()
+            limiter.report(state)
+            return state
+
         for part in parts:
             done = []
             for (file, _, labels), series in part.groupby(["file", "ds", "labels"], sort=False):
                 if file != now:
                     if state:
-                        flush()
-                        done.append(state)
-                    now, state = file, {"file": file, "status": "PAUSED" if stopped else "DONE", "samples": 0, "attempts": 0, "error": "stopped before" if stopped else None}
+                        done.append(end())
+                    now, state = file, begin(file)
                 times, values = (series["ts"] * 1000).tolist(), series["value"].tolist()
                 for lo in range(0, len(times), batch_samples):
                     piece = times[lo : lo + batch_samples]
@@ -235,44 +336,75 @@ def write_files(samples: DataFrame, labels: DataFrame, backend: Backend, *, rate
                     filled += len(piece)
             yield pd.DataFrame(done, columns=["file", "status", "samples", "attempts", "error"])
         if state:
-            flush()
-            yield pd.DataFrame([state], columns=["file", "status", "samples", "attempts", "error"])
+            yield pd.DataFrame([end()], columns=["file", "status", "samples", "attempts", "error"])
 
     return ordered.mapInPandas(run, OUTCOME)
 
 
-def backfill(history: DataFrame, entries: DataFrame, backend: Backend, log: str, states: Callable[[], DataFrame], *, guard: Callable[[str], None] = lambda _: None, retry_failed: bool = False, **options) -> str:
-    """Write both passes, recent first; DONE, PAUSED or FAILED.  The state log grows file by file.
+def backfill(history: DataFrame, entries: DataFrame, backend: Backend, log: str, states: Callable[[], DataFrame], *, read: DataFrame | None = None, guard: Callable[[str], None] = lambda _: None, retry_failed: bool = False, say: Callable[[str], None] = lambda _: None, rate: float = 20_000, **options) -> str:
+    """Write both passes, recent first; DONE, PAUSED or FAILED.  The state log grows file by file,
+    as writers are done with them.
 
-    history: file, ds, ts, value, pass; states() reads the log anew before each pass; guard runs
-    before each pass and may raise.
+    history: file, ds, ts, value, pass; read: file, error, names of the archive files as found
+    now (all readable and whole if there is none); states() reads the log anew before each
+    pass; guard runs before each pass and may raise; say takes notices.
     """
-    planned = entries.where("labels IS NOT NULL")
     from ..operators.labels import label_hash
 
-    hashes, failed = label_hash(planned), False
+    spark, planned = history.sparkSession, entries.where("labels IS NOT NULL")
+    hashes, book, any_failed = label_hash(planned), StateLog(log), False
+    host = spark.conf.get("spark.driver.host", "localhost")
+    # the writers carry a file's label hash as part of its name, so that the driver needs no list of files
+    named = planned.join(hashes, "file").withColumn("file", F.to_json(F.struct("file", "label_hash"))).drop("label_hash")
     for turn in ("RECENT", "OLDER"):
         guard(turn)
-        files = writing.todo(hashes, states().where(F.col("pass") == turn), retry_failed=retry_failed)
-        chosen = history.where(F.col("pass") == turn).join(files.select("file"), "file", "left_semi")
-        outcome = write_files(chosen, planned, backend, **options)
-        empty = files.select("file").join(chosen.select("file").distinct(), "file", "left_anti").select("file", F.lit("DONE").alias("status"), F.lit(0).cast("long").alias("samples"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
-        book, paused = StateLog(log), False
-        for r in outcome.unionByName(empty).join(hashes, "file").toLocalIterator():
-            if r.status == "PAUSED":
-                paused = True
-                continue
-            failed |= r.status == "FAILED"
-            book.append(file=r.file, **{"pass": turn}, status=r.status, samples=r.samples, attempts=r.attempts, error=r.error, labelHash=r.label_hash)
-        if paused:
+        files = writing.todo(hashes, states().where(F.col("pass") == turn), retry_failed=retry_failed).persist(StorageLevel.DISK_ONLY)
+        try:
+            counts, why = _write_pass(turn, history.where(F.col("pass") == turn), files, planned, named, read, book, say, host, backend, rate, options)
+        finally:
+            files.unpersist()
+        any_failed |= counts["FAILED"] > 0
+        say(f"pass {turn}: {counts['DONE']} files done, {counts['FAILED']} failed")
+        if counts["PAUSED"]:
+            say(f"paused: {why}")
             return "PAUSED"
-    return "FAILED" if failed else "DONE"
+    return "FAILED" if any_failed else "DONE"
+
+
+def _write_pass(turn: str, points: DataFrame, files: DataFrame, planned: DataFrame, named: DataFrame, read: DataFrame | None, book: StateLog, say: Callable[[str], None], host: str, backend: Backend, rate: float, options: dict) -> tuple[Counter, str | None]:
+    """How many files ended how, and why the writers paused."""
+    if again := writing.rewritten(files):
+        say(f"{again} files are written again because their planned labels changed; series under the old labels stay in the backend")
+    none = files.sparkSession.createDataFrame([], "file string, error string")
+    bad = writing.unwritable(files, planned, read) if read is not None else none
+    chosen, counts = points.join(files.select("file", "label_hash").join(bad, "file", "left_anti"), "file"), Counter()
+
+    def note(outcome: dict) -> None:
+        counts[outcome["status"]] += 1
+        if outcome["status"] != "PAUSED":
+            book.append(file=outcome["file"], **{"pass": turn}, status=outcome["status"], samples=outcome["samples"], attempts=outcome["attempts"], error=outcome["error"], labelHash=outcome["label_hash"])
+        if outcome["status"] == "FAILED":
+            say(f"FAILED {outcome['file']} ({turn}): {outcome['error']}")
+
+    packed = chosen.withColumn("file", F.to_json(F.struct("file", "label_hash"))).drop("label_hash")
+    with Governor(rate, host, lambda o: note(o | json.loads(o["file"]))) as governor:
+        outcome = write_files(packed, named, backend, rate=rate, governor=governor.address, **options)
+        outcome.write.format("noop").mode("overwrite").save()
+    sent = chosen.select("file").distinct().select("file", F.lit("").alias("status"), F.lit(0).cast("long").alias("samples"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
+    others = writing.outcomes(files, bad, sent).where("status = 'FAILED'" if counts["PAUSED"] else "status <> ''")
+    for r in others.join(files.select("file", "label_hash"), "file").toLocalIterator():
+        note(r.asDict())
+    return counts, governor.why
+
+
+def quoted(text: str) -> str:
+    """A text between the quotes of a selector."""
+    return text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
 
 
 def read_back(backend: Backend, labels: dict[str, str], first: int, last: int) -> list[tuple[int, float]]:
     """What the backend has of exactly this label set, in milliseconds; sets with more labels don't count."""
-    quote = lambda s: s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
-    selector = "{" + ",".join(f'{k}="{quote(v)}"' for k, v in sorted(labels.items())) + "}"
+    selector = "{" + ",".join(f'{k}="{quoted(v)}"' for k, v in sorted(labels.items())) + "}"
     for found, times, values in backend.query(f"{selector}[{last - first + 1}s]", last):
         if found == labels:
             return [*zip(times, values)]
@@ -280,16 +412,22 @@ def read_back(backend: Backend, labels: dict[str, str], first: int, last: int) -
 
 
 def read_back_table(expected: DataFrame, backend: Backend) -> DataFrame:
-    """(canon, ts, value) of the series in expected (canon, labels, ts), one query for each."""
+    """(canon, ts, value, error) of the series in expected (canon, labels, ts), one query for each;
+    one that fails is a row with its error."""
     ship(expected.sparkSession)
     asked = expected.groupBy("canon").agg(F.first(F.to_json("labels")).alias("labels"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(r.canon, t // 1000, v) for r in part.itertuples() for t, v in read_back(backend, json.loads(r.labels), r.first, r.last)]
-            yield pd.DataFrame(rows, columns=["canon", "ts", "value"])
+            rows = []
+            for r in part.itertuples():
+                try:
+                    rows += [(r.canon, t // 1000, v, None) for t, v in read_back(backend, json.loads(r.labels), r.first, r.last)]
+                except (OSError, ValueError, KeyError) as x:
+                    rows.append((r.canon, None, None, str(x) or type(x).__name__))
+            yield pd.DataFrame(rows, columns=["canon", "ts", "value", "error"]).astype({"ts": "Int64"})
 
-    return asked.mapInPandas(run, "canon string, ts bigint, value double")
+    return asked.mapInPandas(run, "canon string, ts bigint, value double, error string")
 
 
 def preflight(backend: Backend, oldest: int, now: int, *, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> list[str]:
@@ -321,7 +459,7 @@ def preflight(backend: Backend, oldest: int, now: int, *, tries: int = 5, sleep:
 
 
 def stream_to(backend: Backend, labels: DataFrame, **options) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes micro-batches of (file, ds, ts, value)."""
+    """A foreachBatch function that writes micro-batches of (file, ds, ts, value); its tasks share the rate evenly."""
 
     def write(batch: DataFrame, _: int) -> None:
         bad = write_files(batch, labels, backend, **options).where("status <> 'DONE'").limit(1).collect()

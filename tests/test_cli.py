@@ -26,6 +26,7 @@ def world(tmp_path):
     (tmp_path / "labels.json").write_text(json.dumps(live))
     (tmp_path / "home/etc").mkdir(parents=True)
     (tmp_path / "home/etc/x.properties").write_text("metatags.node=${node:label}\nmetatags.zone=z1\n")
+    (tmp_path / "other").mkdir()
     yield tmp_path, fake
     fake.close()
 
@@ -39,6 +40,7 @@ def test_everything(spark, world, capsys):
     plan = ["plan", "--rrd-dir", top / "repo", "--labels", top / "labels.json", "--home", top / "home", "--out", top / "plan", "--orphans", top / "o.txt", "--not-migrated", top / "n.txt", "--report", top / "r.html"]
     assert run(spark, *plan) == 0
     said = capsys.readouterr().out
+    assert "class=SKIPPED" in said and "root=snmp n=4" in said.replace("\n", " ") and "not supported" in (top / "n.txt").read_text()
     assert "class=MATCHED" in said and "class=MTYPE_MISMATCH" in said and "class=ORPHAN_COMPLETE" in said
     assert (top / "o.txt").read_text() == "snmp/1/eth0/idle\n" and "broken" in (top / "n.txt").read_text() and "no group information" in (top / "n.txt").read_text()
     assert "<h2>Classes</h2>" in (top / "r.html").read_text()
@@ -50,6 +52,16 @@ def test_everything(spark, world, capsys):
     orphan = next(dict(k) for k in fake.data if dict(k)["__name__"] == "temp")
     assert orphan == {"__name__": "temp", "resourceId": "snmp/1/eth0/idle", "mtype": "gauge", "node": "n1", "zone": "z1"}
     assert run(spark, "verify", *state, *links, "--all") == 0
+    capsys.readouterr()
+    idle = top / "repo/snmp/1/eth0/idle.rrd"
+    raw = idle.read_bytes()
+    idle.write_bytes(b"RRD\0")
+    assert run(spark, "verify", *state, *links, "--all") == 1 and "read snmp/1/eth0/idle.rrd" in capsys.readouterr().out
+    assert run(spark, "backfill", "--plan", top / "plan", "--state-dir", top / "other", *links, "--rate", 0, "--canary", 0, "--skip-config-check") == 1
+    assert "FAILED snmp/1/eth0/idle.rrd (RECENT): read: " in capsys.readouterr().err
+    idle.unlink()
+    assert run(spark, "verify", *state, *links, "--all") == 1 and "read snmp/1/eth0/idle.rrd" in capsys.readouterr().out
+    idle.write_bytes(raw)
     first = next(iter(fake.data.values()))
     first[max(first)] += 1000
     assert run(spark, "verify", *state, *links, "--all") == 1

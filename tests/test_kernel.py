@@ -40,8 +40,11 @@ def test_unknown_reading_counts_from_zero_without_a_point(spark):
     assert out[0] == 0 and 100 not in out and out[-1200] == -3000
 
 
-def test_no_known_interval_gives_no_points(spark):
-    assert points(kernel.history(*tables(spark, [NAN] * 4, [NAN] * 3, reading=5.0))) == {}
+def test_unknown_intervals_leave_the_reading(spark):
+    assert points(kernel.history(*tables(spark, [NAN] * 4, [NAN] * 3, last_update=L + 7, reading=5.0))) == {7: 5.0}
+    assert points(kernel.history(*tables(spark, [NAN] * 4, [NAN] * 3))) == {}
+    assert points(kernel.history(*tables(spark, [NAN] * 4, [NAN] * 3, reading=5.0, counter=False))) == {}
+    assert points(kernel.history(*tables(spark, [], [], reading=5.0))) == {}
 
 
 def test_an_interval_wins_over_the_reading_at_its_end(spark):

@@ -60,8 +60,41 @@ def test_categories(spark):
     named = spark.createDataFrame([("f", "x", ["b c", "a"], 7)], "file string, ds string, names array<string>, node_id long")
     (row,) = labels.resolve_categories(entry(spark), split, named).collect()
     assert row.categories == {"cat_b_c": "b c", "cat_a": "a", "categories": "a,b c"} and row.category_source == "rest:node/7"
-    base = spark.createDataFrame([("f", "x", {"__name__": "x"}, {"__name__": "minimal"}, [])], "file string, ds string, labels map<string,string>, sources map<string,string>, unresolved array<string>")
-    assert labels.with_categories(base, labels.resolve_categories(entry(spark), split)).first().unresolved == ["categories"]
+    base = spark.createDataFrame([("f", "x", {"__name__": "x"}, {"__name__": "minimal"}, [], False)], "file string, ds string, labels map<string,string>, sources map<string,string>, unresolved array<string>, needs_node boolean")
+    out = labels.with_categories(base, labels.resolve_categories(entry(spark), split)).first()
+    assert out.unresolved == ["categories"] and out.needs_node
+    assert not labels.with_categories(base, labels.resolve_categories(entry(spark), live)).first().needs_node
+    for names, wanted in ((["a b", "a-b", "1x"], {"cat_a_b": "a-b", "cat_1x": "1x", "categories": "1x,a b,a-b"}), ([], {}), (["", None], {})):
+        named = spark.createDataFrame([("f", "x", names, 7)], "file string, ds string, names array<string>, node_id long")
+        (row,) = labels.resolve_categories(entry(spark), split, named).collect()
+        assert row.categories == wanted and row.category_source == "rest:node/7"
+        assert labels.with_categories(base, labels.resolve_categories(entry(spark), split, named)).first().unresolved == []
+
+
+def resolved(spark, resource, tags, *live):
+    orphans = spark.createDataFrame([("f", "x", resource, "gauge")], "file string, ds string, resource string, mtype string")
+    return labels.resolve(orphans, spark.createDataFrame(tags, "tag string, expression string, scope string"), sets(spark, *live)).first()
+
+
+def test_tags_that_are_one_label(spark):
+    row = resolved(spark, "snmp/1/eth0/g", [("site.a", "two", "CONSTANT"), ("site-a", "one", "CONSTANT"), ("mtype", "other", "CONSTANT"), ("none", "", "CONSTANT"), ("b-c", "${service:x}", "SERVICE")])
+    assert row.labels == {"__name__": "x", "resourceId": "snmp/1/eth0/g", "mtype": "other", "site_a": "two"} and row.unresolved == ["b_c"] and not row.needs_node
+    assert row.sources == {"__name__": "minimal", "resourceId": "minimal", "mtype": "constant", "site_a": "constant"}
+
+
+@pytest.mark.parametrize(("resource", "wanted"), [("snmp/1/eth0/g", "eth0"), ("snmp/fs/a/b/eth1/g", "eth1"), ("snmp/dom/al/g", "dom/al"), ("snmp/1/g", None), ("snmp/fs/a/b/g", None), ("response/1/a/g", None)])
+def test_the_interface_directory(spark, resource, wanted):
+    assert spark.range(1).select(labels.interface_of(F.lit(resource)).alias("x")).first().x == wanted
+    row = resolved(spark, resource, [("t", " ${resource:label}", "RESOURCE")])
+    assert row.labels.get("t") == wanted and row.unresolved == ([] if wanted else ["t"])
+
+
+def test_a_node_is_needed_where_siblings_leave_something_open(spark):
+    tags = [("t", "${node:label}", "NODE")]
+    assert resolved(spark, "snmp/1/a/g", tags).needs_node
+    assert not resolved(spark, "snmp/1/a/g", tags, one("snmp/1/b/g", t="v")).needs_node
+    assert not resolved(spark, "snmp/1/a/g", tags, one("snmp/1/b/g")).needs_node
+    assert resolved(spark, "snmp/1/a/g", tags, one("snmp/1/b/g", t="v"), one("snmp/1/b/g")).needs_node
 
 
 def judged(spark, cutover=100, **more):

@@ -15,9 +15,10 @@ def value(spark, column):
 @pytest.mark.parametrize(("f", "given", "wanted"), [
     (S.metric_name, "9a:b-c", "_a:b_c"), (S.label_name, "a:b.c", "a_b_c"), (S.metric_name, "", ""), (S.node_prefix, "snmp/fs/a/b/c/d", "snmp/fs/a/b"),
     (S.node_prefix, "snmp/1/eth0", "snmp/1"), (S.node_prefix, "snmp/fs/a", "snmp/fs"), (S.dir_of, "a/b/c", "a/b"), (S.dir_of, "a", ""),
-    (S.is_aliased, "snmp/dom/x", True), (S.is_aliased, "snmp/fs/x", False), (S.is_aliased, "snmp/12/x", False), (S.is_aliased, "snmp/dom", False),
+    (S.is_aliased, "snmp/dom/x", True), (S.is_aliased, "snmp/fs/x", False), (S.is_aliased, "snmp/12/x", False), (S.is_aliased, "snmp/dom", True), (S.is_aliased, "snmp/12", False), (S.is_aliased, "snmp/fs", False), (S.is_aliased, "response/dom", False),
     (S.promql_quote, 'a"\\\n', 'a\\"\\\\\\n'), (S.regex_escape, "a.b(c)", "a\\.b\\(c\\)"), (S.html_escape, "<a href='x'>&\"", "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"),
     (S.scope_of, "${node:a|interface:b}", "INTERFACE"), (S.scope_of, "plain", "CONSTANT"), (S.scope_of, "${x", "UNCLASSIFIED"), (S.scope_of, "${a:b}", "METADATA"),
+    (S.scope_of, "${:x|node:label}", "NODE"), (S.scope_of, "${:x}", "UNCLASSIFIED"), (S.scope_of, "${node:a}${x", "UNCLASSIFIED"), (S.scope_of, "a}b", "CONSTANT"),
 ])
 def test_text(spark, f, given, wanted):
     assert value(spark, f(F.lit(given))) == wanted
@@ -51,6 +52,8 @@ def test_canonical_text_tells_sets_apart(spark):
 def test_interface_label(spark):
     label = lambda *a, **k: value(spark, S.interface_label(*(F.lit(x) for x in a), **k))
     assert label("eth0/1", "d", "001122334455") == "eth0_1-001122334455"
+    assert label("eth0", "d", "00:11:22:33:44:55") == "eth0" and label("eth0", "d", ":001122334455.") == "eth0-001122334455" and label("eth0", "d", "0011223344") == "eth0"
+    assert label(None, "d d", None) == "d_d" and label("a", "b c", "", prefer_descr=True) == "b_c"
     assert label("", "Gi 1", "") == "Gi_1" and label("é", "", "") == "__" and label("a-b", "", "", sanitize=False) == "a-b"
 
 

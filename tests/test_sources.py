@@ -7,6 +7,7 @@ import os
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from annulus.operators import kernel
 from annulus.sources import documents, repository, rrd
@@ -97,7 +98,10 @@ def tree(top):
     put("snmp/1/eth0/stray.rrd")
     put("response/10.0.0.1/icmp.rrd", mtime=100)
     put("response/10.0.0.1/icmp.jrb", mtime=200)
-    put("response/10.0.0.1/icmp.meta", b"GROUP=icmp\n")
+    put("response/10.0.0.1/icmp.meta", b"GROUP=ping\n")
+    put("snmp/2/ds.properties", b"a=\\u00zz\n")
+    put("snmp/2/x.meta", b"GROUP=x\n")
+    put("snmp/2/x.rrd")
     put("response/10.0.0.1/lost.meta", b"GROUP=x\n")
     put("response/10.0.0.1/none.meta", b"OTHER=x\n")
     put("elsewhere/x.rrd")
@@ -107,11 +111,11 @@ def tree(top):
 def test_walk(spark, tmp_path):
     tree(str(tmp_path))
     items, skipped = repository.resolve(*repository.scan(spark, str(tmp_path)))
-    assert [tuple(r) for r in items.collect()] == [("response/10.0.0.1/icmp.jrb", "response/10.0.0.1", "icmp"), ("snmp/1/eth0/grp.rrd", "snmp/1/eth0/grp", "grp")]
+    assert [tuple(r) for r in items.collect()] == [("response/10.0.0.1/icmp.jrb", "response/10.0.0.1/ping", "ping"), ("snmp/1/eth0/grp.rrd", "snmp/1/eth0/grp", "grp")]
     reasons = dict(tuple(r) for r in skipped.collect())
     assert reasons["snmp/1/eth0/grp.jrb"] == "older duplicate of grp.rrd" and reasons["response/10.0.0.1/icmp.rrd"] == "older duplicate of icmp.jrb"
     assert reasons["snmp/1/eth0/stray.rrd"] == "no group information" and "snmp/1/eth0/gone" in reasons and "response/10.0.0.1/lost" in reasons
-    assert reasons["snmp/1/loop"].startswith("cannot read")
+    assert reasons["snmp/1/loop"].startswith("cannot read") and reasons["snmp/2/ds.properties"].startswith("cannot read") and reasons["snmp/2/x.rrd"] == "no group information"
 
 
 def test_states(spark, tmp_path):
@@ -140,6 +144,53 @@ def test_snapshot_and_labels(spark, tmp_path):
     assert documents.Snapshot.load(path) == snapshot and documents.Snapshot.load(path + "x") is None
 
 
+def test_label_files_of_any_layout(spark, tmp_path):
+    sets = [{"a": "1", "b": "x, ]y"}, {"a": "{"}, {}]
+    texts = {"lines": "\n".join(map(json.dumps, sets)), "array": json.dumps(sets), "indented": json.dumps(sets, indent=2), "parts": "[" + ",\n".join(map(json.dumps, sets)) + "]", "none": "[\n]\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        assert sorted(map(str, (r.labels for r in documents.label_sets(spark, str(tmp_path / name)).collect()))) == (sorted(map(str, sets)) if name != "none" else []), name
+
+
+def test_the_last_state_counts_in_a_log_of_many_parts(spark, tmp_path):
+    from annulus.operators.writing import last_states
+
+    path, log = str(tmp_path / "state.jsonl"), []
+    for i in range(4000):
+        log.append(json.dumps({"file": f"f{i % 7}", "pass": "RECENT", "status": "DONE", "samples": i, "attempts": 1, "error": None, "labelHash": None}))
+    (tmp_path / "state.jsonl").write_text("\n".join(log) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        states = documents.read_states(spark, path)
+        assert states.rdd.getNumPartitions() > 5
+        assert {r.file: r.samples for r in last_states(states).collect()} == {f"f{i % 7}": i for i in range(3993, 4000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_node_answers_as_columns(spark):
+    from annulus.sources import inventory
+
+    answers = [
+        {"id": "7", "label": "n", "foreignSource": "f", "categories": [{"id": 1, "name": "c"}], "assetRecord": {"rack-unit-no": "r", "x": "", "y": None, "z": 5, "o": {"p": 1}, "l": [1]}, "more": {}},
+        {"id": 8}, {"id": 9, "assetRecord": None, "categories": []},
+    ]
+    node = inventory.node_columns(F.col("value"))
+    rows = spark.createDataFrame([(json.dumps(a),) for a in answers], "value string").select(*(c.alias(k) for k, c in node.items())).collect()
+    assert [r.asDict(True) for r in rows] == [inventory.parse_node(a) for a in answers]
+
+
+def test_real_tag_keys_are_options(spark, tmp_path):
+    (tmp_path / "etc/main.properties.d").mkdir(parents=True)
+    (tmp_path / "etc/other.properties").write_text("my.tag.zone=z\n")
+    (tmp_path / "etc/main.properties").write_text("my.tag.site=a\nmy.cats=TRUE\nu.descr=true \nmy.other=x\n")
+    (tmp_path / "etc/main.properties.d/a.properties").write_text("my.tag.node=${node:label}\n")
+    keys = documents.ConfigKeys("main.properties", "my.tag.", "my.cats", "u.descr", "u.keep")
+    config = documents.TagConfig.load(str(tmp_path), keys)
+    assert config.tags == {"node": "${node:label}", "site": "a"} and config.expose_categories and not config.prefer_descr and not config.keep_names
+
+
 def test_tag_config(spark, tmp_path):
     (tmp_path / "etc/x.properties.d").mkdir(parents=True)
     (tmp_path / "etc/x.properties").write_text("metatags.node=${node:label}\nmetatags.site=a\n")

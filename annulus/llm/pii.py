@@ -138,20 +138,24 @@ def _context(text: Column, start: Column) -> Column:
 
 
 def _occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(context, seen): in how many places of all texts each wanted context stands before a word."""
+    """wanted and `seen`: in how many places of the texts each wanted context stands before a word."""
     pairs = rows.select(word_hashes(_plain_words(F.col("text"))).alias("h")).where(F.size("h") > 2)
     each = pairs.select(F.explode(F.slice(doubled(F.col("h"), 1), F.lit(1), F.size("h") - 2)).alias("context"))
-    counted = Bitmap(wanted, "context").keep(each, "context").groupBy("context").agg(F.count("*").alias("seen"))
+    counted = Bitmap(wanted.select("context"), "context").keep(each, "context").groupBy("context").agg(F.count("*").alias("seen"))
     return wanted.join(counted, "context", "left").na.fill(0, ["seen"])
 
 
-def _accepted(rows: DataFrame, edges: DataFrame, rounds: int | None, least_score: float, least_seeds: int) -> DataFrame:
+def _accepted(rows: DataFrame, near: DataFrame, edges: DataFrame, rounds: int | None, least_score: float, least_seeds: int) -> DataFrame:
     """(context) of the accepted patterns of a graph of edges (context, instance, w, seed).
 
-    Patterns of fewer than `least_seeds` instances can never be accepted and aren't scored.
+    Patterns of fewer than `least_seeds` instances, and those that would not score enough if all
+    their instances were sure, can never be accepted and aren't scored.  Most of the latter show
+    in `near`, a part of rows, already: places counted there are no more than those in all rows.
     """
-    wanted = stored(edges.groupBy("context").agg(F.count("*").alias("__rows")).where(F.col("__rows") >= least_seeds))
-    seen = stored(_occurrences(rows, wanted.select("context")).join(wanted, "context"))
+    wanted = edges.groupBy("context").agg(F.count("*").alias("__rows"), F.sum("w").alias("most")).where(F.col("__rows") >= least_seeds)
+    can_be = F.col("most") >= least_score * (F.col("seen") + SMOOTHING)
+    wanted = stored(_occurrences(near, stored(wanted)).where(can_be).drop("seen"))
+    seen = stored(_occurrences(rows, wanted).where(can_be).drop("most"))
     edges = stored(spread_join(edges, seen, ["context"], edges.count()))
     total = edges.count()
     scores = edges.groupBy("instance").agg(F.max("seed").alias("score"), (F.max("seed") > 0).alias("sure"), F.count("*").alias("__rows"))
@@ -183,7 +187,8 @@ def _new_spans(rows: DataFrame, scan: DataFrame, rounds: int | None, least_score
     copies = scan.where(F.size("all") > 0).groupBy(F.col("id").alias("__id"), F.col("same").alias("__same")).agg(F.count("*").alias("copies"))
     weighed = free.join(copies, F.col("id").eqNullSafe(F.col("__id")) & (F.col("same") == F.col("__same"))).select("context", "instance", "copies", "seed")
     edges = stored(weighed.groupBy("context", "instance").agg(F.sum("copies").alias("w"), F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("seed")))
-    chosen = stored(_accepted(rows, edges, rounds, least_score, least_seeds))
+    near = Bitmap(stored(free.select("same").distinct()), "same").keep(rows.withColumn("same", F.xxhash64("text")), "same")
+    chosen = stored(_accepted(rows, near, edges, rounds, least_score, least_seeds))
     sizes = free.where("kind = 4").groupBy("context").agg(F.count("*").alias("__rows"))
     found = spread_join(free.where("kind = 4"), chosen.join(sizes, "context"), ["context"], free.count())
     return found.select("id", "same", "start", "kind", "end").distinct()

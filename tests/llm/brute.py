@@ -220,7 +220,7 @@ def identifiers(docs, least_score=0.8, least_seeds=3):
     instances = defaultdict(set)
     for c, x in edges:
         instances[c].add(x)
-    instances = {c: xs for c, xs in instances.items() if len(xs) >= least_seeds}
+    instances = {c: xs for c, xs in instances.items() if len(xs) >= least_seeds and sum(edges[c, x] for x in xs) >= least_score * (occurrences[c] + 0.5)}
     score = {x: float(any((c, x) in seeds for c in instances)) for xs in instances.values() for x in xs}
     sure, done = {x for x, v in score.items() if v}, set()
     while True:

@@ -1,8 +1,9 @@
 """Round-robin archive files as tables.
 
-Files are recognised by content.  Those of version 0003, little-endian with 8-byte words, are
-decoded directly; XML dumps of any version are parsed.  A file that can't be read is a row with
-`error`, never a failed job.
+Files are recognised by content.  Those of version 0003, little-endian with 8-byte words, and
+those of the second kind, big-endian with blank-padded texts of 20 characters, are decoded
+directly; XML dumps of any version are parsed.  A file that can't be read is a row with `error`,
+never a failed job.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from ..shipping import ship
 #: Fixed: the layout of version 0003.
 MAGIC, VERSION, COOKIE = b"RRD\0", b"0003\0", 8.642135e130
 HEAD, DS_DEF, RRA_DEF, LIVE_HEAD, PDP_PREP, CDP_PREP = 128, 120, 120, 16, 112, 80
+#: Fixed: the layout of the second kind; every text is 20 characters of two bytes.
+TEXT, SECOND_KIND = 40, "JRobin, version 0.1"
+SECOND_HEAD, SECOND_DS, SECOND_RRA, SECOND_STATE = TEXT + 24, 2 * TEXT + 48, TEXT + 16, 16
 NAN = float("nan")
 DUMP_SECONDS = 300
 
@@ -155,6 +159,67 @@ def encode(f: ArchiveFile, current: int = 0) -> bytes:
     return b"".join(out)
 
 
+def is_second_kind(raw: bytes) -> bool:
+    return raw[: 2 * len(SECOND_KIND)] == SECOND_KIND.encode("utf-16-be")
+
+
+def parse_second(raw: bytes) -> ArchiveFile:
+    """Decode a file of the second kind.
+
+    Behind the head (signature, step, two counts, last update) stand the data sources (name, type,
+    heartbeat, bounds, last reading, what came since the last step, unknown seconds), then the
+    archives (function, xff, steps, rows, and for each source a state, a pointer to the oldest
+    value and the ring).  Sizes are held against the file's before anything is allocated.
+    """
+    if not is_second_kind(raw):
+        raise ValueError("not an archive of the second kind")
+    if len(raw) < SECOND_HEAD:
+        raise ValueError("the file ends within its header")
+    text = lambda at: raw[at : at + TEXT].decode("utf-16-be").strip()
+    step, n_ds, n_rra, last_update = struct.unpack_from(">qiiq", raw, TEXT)
+    if n_ds < 1 or n_rra < 1 or step < 1 or SECOND_HEAD + n_ds * SECOND_DS + n_rra * SECOND_RRA > len(raw):
+        raise ValueError("header counts do not fit the file")
+    at, sources, archives = SECOND_HEAD, [], []
+    for _ in range(n_ds):
+        heartbeat, low, high, last, since, unknown = struct.unpack_from(">qddddq", raw, at + 2 * TEXT)
+        if not 0 <= unknown <= max(step, heartbeat):
+            raise UnsupportedLayout("a data source's unknown seconds are longer than a step")
+        sources.append(Source(text(at), text(at + TEXT), heartbeat, low, high, last, since, unknown))
+        at += SECOND_DS
+    for _ in range(n_rra):
+        if at + SECOND_RRA > len(raw):
+            raise ValueError("the file ends within an archive")
+        function, (xff, steps, rows) = text(at), struct.unpack_from(">dii", raw, at + TEXT)
+        at += SECOND_RRA
+        each = SECOND_STATE + 4 + 8 * rows
+        if steps < 1 or rows < 0 or at + n_ds * each > len(raw):
+            raise ValueError("the file ends within an archive")
+        columns = []
+        for _ in range(n_ds):
+            (oldest,) = struct.unpack_from(">i", raw, at + SECOND_STATE)
+            if rows and not 0 <= oldest < rows:
+                raise ValueError("a row pointer lies outside its archive")
+            columns.append(np.roll(np.frombuffer(raw, dtype=">f8", count=rows, offset=at + SECOND_STATE + 4), -oldest))
+            at += each
+        archives.append(Archive(function, steps, xff, np.stack(columns, axis=1).tolist()))
+    if at != len(raw):
+        raise ValueError("the data do not end where the file does")
+    return ArchiveFile(text(0), step, last_update, sources, archives)
+
+
+def encode_second(f: ArchiveFile, oldest: int = 0) -> bytes:
+    """The inverse of parse_second(), with the oldest value of each ring at `oldest`."""
+    text = lambda s: s[:20].ljust(20).encode("utf-16-be")
+    out = [text(SECOND_KIND) + struct.pack(">qiiq", f.step, len(f.sources), len(f.archives), f.last_update)]
+    out += [text(s.name) + text(s.type) + struct.pack(">qddddq", s.heartbeat, s.min, s.max, s.last_value, s.pdp_value, s.unknown_sec) for s in f.sources]
+    for a in f.archives:
+        out.append(text(a.cf) + struct.pack(">dii", a.xff, a.pdp, len(a.rows)))
+        for i in range(len(f.sources)):
+            at = oldest % max(1, len(a.rows))
+            out.append(struct.pack(">dqi", NAN, 0, at) + np.roll(np.array([r[i] for r in a.rows], dtype=">f8"), at).tobytes())
+    return b"".join(out)
+
+
 def parse_dump(raw: bytes) -> ArchiveFile:
     """An XML dump; entity and type declarations are refused, numbers that are none become NaN."""
     if b"<!ENTITY" in raw[:4096] or b"<!DOCTYPE" in raw[:4096] and b"[" in raw[:4096].split(b"<!DOCTYPE", 1)[1].split(b">", 1)[0]:
@@ -210,6 +275,8 @@ def open_archive(raw: bytes, path: str = "", mode: str = "native", binary: str |
     if mode == "native" or not is_native(raw):
         if raw.lstrip()[:5] in (b"<?xml", b"<rrd>", b"<!DOC"):
             return parse_dump(raw)
+        if is_second_kind(raw):
+            return parse_second(raw)
         try:
             return parse(raw)
         except UnsupportedLayout:

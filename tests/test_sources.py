@@ -63,6 +63,22 @@ def test_dump_with_declarations_is_refused():
         rrd.parse_dump(b'<?xml version="1.0"?><!DOCTYPE r [<!ENTITY x "y">]><rrd/>')
 
 
+def test_the_second_kind(spark, tmp_path):
+    sources = [rrd.Source("g", "GAUGE", 600, NAN, NAN, 20.0, 0.0, 0), rrd.Source("counter_of_20_chars_", "COUNTER", 600, 0.0, NAN, 7000.0, 30.0, 12)]
+    rows = [[float(i), 1.0 if i else NAN] for i in range(10)]
+    f = rrd.ArchiveFile("", 300, 1_800_000, sources, [rrd.Archive("AVERAGE", 1, 0.5, rows), rrd.Archive("MAX", 12, 0.5, rows[:5]), rrd.Archive("MIN", 24, 0.5, [])])
+    for oldest in (0, 3, 9):
+        back = rrd.open_archive(rrd.encode_second(f, oldest))
+        assert repr(dataclasses.replace(back, version="")) == repr(f) and back.version == rrd.SECOND_KIND
+    raw = rrd.encode_second(f, 3)
+    for bad in (raw[:-1], raw + b"x", raw[:50], raw[:48] + struct.pack(">i", 1 << 30) + raw[52:], raw[: 64 + 80 + 40] + struct.pack(">q", 1 << 40) + raw[64 + 80 + 48 :]):
+        with pytest.raises(ValueError):
+            rrd.open_archive(bad)
+    (tmp_path / "a.jrb").write_bytes(raw)
+    (row,) = rrd.read_files(spark, str(tmp_path)).collect()
+    assert row.error is None and row.sources[1].pdp_value == 30.0 and row.archives[0].rows[9] == [9.0, 1.0]
+
+
 def write(tmp_path):
     for name, raw in (("good.rrd", rrd.encode(sample())), ("dump.xml", DUMP.encode()), ("bad.rrd", b"RRD\0" + b"x" * 50), ("odd.jrb", b"?")):
         (tmp_path / name).write_bytes(raw)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, line_dedup, media, mixing, ngram_join, pii, quality, token_counts
-from .common import table
+from .common import pick, table
 
 
 def tokenizer(name: str) -> str:
@@ -22,7 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup_lines(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_kept_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -69,7 +69,7 @@ def streamed(turns: DataFrame) -> DataFrame:
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = rows.unionByName(extra)
     back = chat.read_back(chat.format_chats(streamed(turns)))
@@ -86,7 +86,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return pick(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic").where("quality = 1 AND toxic = 0").select("doc_id")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def held_out() -> Column:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     model = langid.fit(docs.where(~held_out()))
     return langid.predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 

@@ -7,14 +7,18 @@ are summed as whole hundredths so that results don't depend on the order of a su
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import kernel, labels, verify, writing
-from ..sources import inventory, repository
+from ..shipping import ship
+from ..sources import inventory, repository, rrd
+from ..streaming import remote_write
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +101,28 @@ def stitch_intervals(spark, d):
     return out.select("file", "end", "span", "value", "partial")
 
 
+@query
+def archive_round_trip(spark, d):
+    """The archives' rows written as files of both binary kinds, read and laid out as tables again."""
+    ship(spark)
+    shapes = _archives(spark, d).select("file", "rra", "cf", "pdp", "last_update")
+    rows = _rows(spark, d).groupBy("file", "rra").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("rows"))
+    each = shapes.join(rows, ["file", "rra"]).groupBy("file", "last_update").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rra", "cf", "pdp", F.transform("rows", lambda r: F.coalesce(r["value"], F.lit(float("nan")))).alias("rows"))))).alias("archives"))
+
+    def write(parts):
+        for part in parts:
+            made = []
+            for r in part.itertuples():
+                rings = [rrd.Archive(a["cf"], a["pdp"], 0.5, [[float(v)] for v in a["rows"]]) for a in json.loads(r.archives)]
+                f = rrd.ArchiveFile("0003", STEP, r.last_update, [rrd.Source("value", "GAUGE")], rings)
+                made.append((r.file, rrd.encode_second(f, 5) if r.file < "l" else rrd.encode(f, 5)))
+            yield pd.DataFrame(made, columns=["path", "content"])
+
+    files = each.mapInPandas(write, "path string, content binary")
+    held = rrd.tables(rrd.decoded(files))[1]
+    return held.select("file", "rra", "row", F.when(kernel.known(F.col("value")), F.col("value")).alias("value"))
+
+
 @query
 def pass_split(spark, d):
     samples = _samples(spark, d)
@@ -448,6 +474,23 @@ def batch_slices(spark, d):
     return writing.chunks(own, 200).groupBy("file", "chunk").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
+@query
+def remote_write_round_trip(spark, d):
+    """Every series as a write request, compressed, and read from its bytes again."""
+    ship(spark)
+    points = _samples(spark, d).groupBy("file", "ts").agg(F.max("cents").cast("double").alias("value")).withColumn("ds", F.lit("value"))
+    series = kernel.to_series(points)
+
+    def send(parts):
+        for part in parts:
+            for r in part.itertuples():
+                body = remote_write.packed([({"file": r.file, "__name__": r.ds}, [int(t) for t in r.ts_ms], [float(v) for v in r.value])])
+                for labels_, times, values in remote_write.unpacked(body):
+                    yield pd.DataFrame({"file": labels_["file"], "ts_ms": times, "cents": values})
+
+    return series.mapInPandas(send, "file string, ts_ms bigint, cents double")
+
+
 @query
 def batch_packing(spark, d):
     samples = _samples(spark, d).withColumn("ds", F.concat(F.lit("d"), F.col("event_id") % 3))
@@ -498,6 +541,15 @@ def canary_sample(spark, d):
     return writing.drawn(_t(spark, d, "customer"), F.col("c_custkey"), 5, 17, "c_mktsegment").select("c_mktsegment", "c_custkey")
 
 
+@query
+def label_drift(spark, d):
+    """Customers as entries of three classes, of which some have other labels by now, or no live series."""
+    kind = F.when(F.col("c_custkey") % 3 == 0, "MATCHED").when(F.col("c_custkey") % 3 == 1, "PENDING").otherwise("ORPHAN_COMPLETE")
+    sets = _label_sets(spark, d).select("c_custkey", F.col("resource").alias("file"), "resource", F.lit("acctbal").alias("ds"), kind.alias("class"), "labels")
+    now = sets.where("c_custkey % 7 <> 0").select(F.when(F.col("c_custkey") % 5 == 0, F.map_concat("labels", F.create_map(F.lit("new"), F.lit("1")))).otherwise(F.col("labels")).alias("labels"))
+    return writing.label_drift(sets, labels.label_index(now), canary=50, seed=1)
+
+
 @query
 def live_after_cutover(spark, d):
     samples = _samples(spark, d).select(F.concat(F.col("file"), F.col("event_id") % 50).alias("canon"), (F.col("ts") * 1000).alias("ts_ms"))

@@ -159,6 +159,22 @@ WITH {_SAMPLES} SELECT file, ts // 21600 * 21600 + 21600 AS "end", sum(cents)::D
 FROM samples GROUP BY ALL""",
     "archive_select_finest": f"WITH {_ARCHIVES} SELECT file, rra, pdp, n FROM selected",
     "stitch_intervals": f'WITH {_STITCHED} SELECT file, "end", span, value, partial FROM stitched',
+    "archive_round_trip": f"""
+WITH {_ARCHIVES}, means AS (
+  SELECT file, p AS pdp, ts // (3600 * p) * (3600 * p) + 3600 * p AS e, sum(cents)::DOUBLE / count(*) / 100 AS v, max(cents)::DOUBLE / 100 AS m FROM samples, (VALUES (1), (6), (24)) x(p) GROUP BY ALL
+), grid AS (
+  SELECT a.*, j AS row, last_update - last_update % (step * pdp) - (n - 1 - j) * step * pdp AS t FROM archives a, unnest(range(n)) u(j)
+)
+SELECT g.file, rra, row, CASE WHEN cf = 'MAX' THEN m.m ELSE m.v END AS value FROM grid g LEFT JOIN means m ON m.file = g.file AND m.pdp = g.pdp AND m.e = g.t""",
+    "remote_write_round_trip": f"WITH {_SAMPLES} SELECT file, ts * 1000 AS ts_ms, max(cents)::DOUBLE AS cents FROM samples GROUP BY file, ts",
+    "label_drift": f"""
+WITH {_SETS}, entries AS (
+  SELECT *, CASE c_custkey % 3 WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'PENDING' ELSE 'ORPHAN_COMPLETE' END AS class FROM sets
+), sample AS (
+  SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY class ORDER BY md5('1:' || resource || '/acctbal'), resource) <= 50
+)
+SELECT resource AS file, 'acctbal' AS ds, class, CASE WHEN class = 'PENDING' THEN 'notice' ELSE 'stop' END AS kind FROM sample
+WHERE c_custkey % 7 <> 0 AND (class = 'PENDING' OR c_custkey % 5 = 0)""",
     "pass_split": f"WITH {_SAMPLES} SELECT file, {_PASS}, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM samples JOIN lasts USING (file) GROUP BY file, pass",
     "oldest_row_time": f"WITH {_ARCHIVES} SELECT file, min(last_update - last_update % (step * pdp) - (n - 1) * step * pdp) AS oldest FROM selected GROUP BY file",
     "cutover": f"WITH {_SAMPLES} SELECT coalesce(max(last_update), 0) AS cutover FROM lasts",

@@ -309,12 +309,19 @@ def read_files(spark: SparkSession, path: str | list[str], *, pattern: str = "*.
     if only is not None:
         files = files.join(only.distinct().withColumnRenamed("path", "__path"), F.regexp_replace("path", "^[a-z0-9]+:/*", "/") == F.col("__path"), "left_semi")
 
+    return decoded(files, mode=mode, binary=binary)
+
+
+def decoded(files: DataFrame, *, mode: str = "native", binary: str | None = None) -> DataFrame:
+    """SCHEMA rows of a table (path, content)."""
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield pa.RecordBatch.from_pylist([_record(p, raw.as_py(), mode, binary)], schema=arrow_schema())
 
-    return files.mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 @dataclass

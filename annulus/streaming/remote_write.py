@@ -108,6 +108,21 @@ def decode(raw: bytes) -> list[Series]:
     return out
 
 
+def packed(series: list[Series]) -> bytes:
+    """The body of a request: a write request in a snappy block."""
+    return pa.compress(encode(series), codec="snappy", asbytes=True)
+
+
+def unpacked(body: bytes) -> list[Series]:
+    size = shift = 0
+    for b in body:
+        size |= (b & 0x7F) << shift
+        shift += 7
+        if b < 0x80:
+            break
+    return decode(pa.decompress(body, decompressed_size=size, codec="snappy", asbytes=True))
+
+
 class WriteError(OSError):
     def __init__(self, status: int, body: str) -> None:
         super().__init__(f"HTTP {status}: {body}")
@@ -132,7 +147,7 @@ class Backend:
             raise WriteError(x.code, x.read(2048).decode("utf-8", "replace")) from x
 
     def write(self, series: list[Series]) -> None:
-        body = pa.compress(encode(series), codec="snappy", asbytes=True)
+        body = packed(series)
         headers = {"Content-Type": "application/x-protobuf", "Content-Encoding": "snappy", "X-Prometheus-Remote-Write-Version": "0.1.0"}
         self._open(urllib.request.Request(self.write_url, data=body, headers=headers, method="POST"), WRITE_SECONDS)
 
@@ -386,9 +401,9 @@ def _write_pass(turn: str, points: DataFrame, files: DataFrame, planned: DataFra
         if outcome["status"] == "FAILED":
             say(f"FAILED {outcome['file']} ({turn}): {outcome['error']}")
 
-    packed = chosen.withColumn("file", F.to_json(F.struct("file", "label_hash"))).drop("label_hash")
+    keyed = chosen.withColumn("file", F.to_json(F.struct("file", "label_hash"))).drop("label_hash")
     with Governor(rate, host, lambda o: note(o | json.loads(o["file"]))) as governor:
-        outcome = write_files(packed, named, backend, rate=rate, governor=governor.address, **options)
+        outcome = write_files(keyed, named, backend, rate=rate, governor=governor.address, **options)
         outcome.write.format("noop").mode("overwrite").save()
     sent = chosen.select("file").distinct().select("file", F.lit("").alias("status"), F.lit(0).cast("long").alias("samples"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
     others = writing.outcomes(files, bad, sent).where("status = 'FAILED'" if counts["PAUSED"] else "status <> ''")

@@ -225,9 +225,14 @@ def node_expression(expression: str, node: dict[str, Column]) -> Column:
     return F.concat(*out) if out else F.lit("")
 
 
+def braced(labels: Column) -> Column:
+    """{key=value, key=value} of a label map, by key."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", "), F.lit("}"))
+
+
 def fingerprint(entries: Column) -> Column:
-    """SHA-256 over an array of texts, whatever their order."""
-    return F.sha2(F.array_join(F.array_sort(entries), "\n"), 256)
+    """SHA-256 over an array of texts in their order, each with a line feed behind it."""
+    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(e, F.lit("\n"))), ""), 256)
 
 
 def as_json(value: object) -> str:

@@ -304,13 +304,20 @@ def classify_orphans(orphans: DataFrame, *, cutover: int, pending: bool = True,
 
 
 def label_hash(entries: DataFrame) -> DataFrame:
-    """(file, label_hash) over the entries that will be written, whatever their order."""
-    return entries.where("labels IS NOT NULL").groupBy("file").agg(S.fingerprint(F.collect_list(F.concat("ds", F.lit("|"), S.canonical(F.col("labels"))))).alias("label_hash"))
+    """(file, label_hash) over the entries that will be written, whatever their order.
+
+    The text (a line for each data source, by name, and one for its labels) is the one that state
+    logs of other writers hash, so that a migration begun elsewhere is not written again.
+    """
+    entry = F.array_sort(F.collect_list(F.struct("ds", S.braced(F.col("labels")).alias("labels"))))
+    lines = F.transform(entry, lambda e: F.concat(e["ds"], F.lit("\n"), e["labels"]))
+    return entries.where("labels IS NOT NULL").groupBy("file").agg(S.fingerprint(lines).alias("label_hash"))
 
 
 def config_hash(tags: DataFrame, expose_categories: bool) -> DataFrame:
     """(config_hash): one row, over the sorted tags and the switch."""
-    texts = F.array_append(F.collect_list(F.concat("tag", F.lit("="), "expression")), F.lit(f"exposeCategories={str(expose_categories).lower()}"))
+    sorted_tags = F.transform(F.array_sort(F.collect_list(F.struct("tag", "expression"))), lambda t: F.concat(F.lit("tag."), t["tag"], F.lit("="), t["expression"]))
+    texts = F.array_append(sorted_tags, F.lit(f"exposeCategories={str(expose_categories).lower()}"))
     return tags.agg(S.fingerprint(texts).alias("config_hash"))
 
 

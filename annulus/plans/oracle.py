@@ -277,11 +277,10 @@ WITH {_EXPECTED} SELECT o_orderkey::VARCHAR AS what, 'read' AS kind FROM orders
 UNION ALL SELECT DISTINCT canon, 'read' FROM expected WHERE canon >= 's'""",
     "root_counts": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'response' ELSE 'snmp' END AS root, count(*) AS n FROM orders GROUP BY 1",
     "label_hash": """
-WITH e AS (SELECT l_orderkey AS file, 'ds' || l_linenumber || '|part=' || l_partkey || ',supplier=' || l_suppkey AS t FROM lineitem)
-SELECT file, sha256(string_agg(t, chr(10) ORDER BY t)) AS label_hash FROM e GROUP BY file""",
+WITH e AS (SELECT l_orderkey AS file, 'ds' || l_linenumber AS ds, '{part=' || l_partkey || ', supplier=' || l_suppkey || '}' AS t FROM lineitem)
+SELECT file, sha256(string_agg(ds || chr(10) || t || chr(10), '' ORDER BY ds, t)) AS label_hash FROM e GROUP BY file""",
     "config_hash": """
-WITH e AS (SELECT lower(n_name) || '=${node:label}-' || n_regionkey AS t FROM nation UNION ALL SELECT 'exposeCategories=true')
-SELECT sha256(string_agg(t, chr(10) ORDER BY t)) AS config_hash FROM e""",
+SELECT sha256(string_agg('tag.' || lower(n_name) || '=${node:label}-' || n_regionkey || chr(10), '' ORDER BY lower(n_name)) || 'exposeCategories=true' || chr(10)) AS config_hash FROM nation""",
     "expected_keys": f"SELECT DISTINCT {_LABEL.format('lower(n_name)')} AS label FROM nation UNION SELECT 'categories'",
     "sanitize_names": f"SELECT page_id, {_METRIC.format('url')} AS metric, {_LABEL.format('url')} AS label, {_METRIC.format('page_id::VARCHAR')} AS numbered FROM pages",
     "truncate_label_value": "SELECT doc_id, sha256(substring(text, 1, 2048)) AS value_sha256, length(substring(text, 1, 2048)) AS n FROM documents",

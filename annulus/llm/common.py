@@ -75,7 +75,8 @@ def clear(spark: SparkSession, paths: Sequence[str] | None = None) -> None:
     for path in [*(held if paths is None else paths)]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        held.remove(path)
+        if path in held:
+            held.remove(path)
 
 
 @contextmanager

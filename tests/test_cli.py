@@ -86,3 +86,14 @@ def test_snapshot_and_preflight(spark, world):
 @pytest.mark.parametrize("argv", [[], ["nonsense"], ["plan"], ["backfill", "--plan", "p", "--threads", "0"], ["verify", "--plan", "p", "--sample", "0"]])
 def test_usage(spark, argv):
     assert run(spark, *argv) == 64
+
+
+def test_files_beyond_those_that_are_named(spark, world, monkeypatch):
+    """More files than are opened by name: the folder is listed, and the others aren't decoded."""
+    top, fake = world
+    links = ["--write-url", fake.url + "/w", "--read-url", fake.url]
+    assert run(spark, "plan", "--rrd-dir", top / "repo", "--labels", top / "labels.json", "--out", top / "plan", "--orphans", top / "o.txt", "--not-migrated", top / "n.txt") == 0
+    monkeypatch.setattr(cli, "NAMED_FILES", 0)
+    state = ["--plan", top / "plan", "--state-dir", top]
+    assert run(spark, "backfill", *state, *links, "--rate", 0, "--canary", 0) == 0 and len(fake.data) == 2
+    assert run(spark, "verify", *state, *links, "--all") == 0

@@ -96,15 +96,15 @@ def settled(spark: SparkSession) -> Iterator[list[str]]:
 class Bitmap:
     """A Bloom filter with one hash over a long or string key, sized by a count of its keys.
 
-    It has eight bits or more for each key, up to `most`: that is the bound of what is broadcast
+    It has `each` bits or more for a key, up to `most`: that is the bound of what is broadcast
     (a byte for eight bits, in blocks that a lookup joins by number).  It never misses a key that
-    was put in; a key that wasn't is let through by chance, so an exact join always follows, and
+    was put in; one in `each` of the others is let through, so an exact join always follows, and
     a table with more keys than `most` allows for only has more to join.
     """
 
-    def __init__(self, keys: DataFrame, key: str, bits: int | None = None, hashed: bool = True, most: int = MOST_BITS) -> None:
+    def __init__(self, keys: DataFrame, key: str, bits: int | None = None, hashed: bool = True, each: int = 32, most: int = MOST_BITS) -> None:
         held = keys.where(F.col(key).isNotNull())
-        self.bits = bits or min(most, 1 << max(16, (8 * held.count()).bit_length()))
+        self.bits = bits or min(most, 1 << max(16, (each * held.count()).bit_length()))
         self.hashed = hashed
         set_bits = held.select(self._at(key).alias("at")).select(F.shiftright("at", 6).alias("w"), F.col("at").bitwiseAND(63).cast("int").alias("b"))
         self.words = set_bits.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))  # at most bits / 64 rows

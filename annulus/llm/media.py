@@ -34,8 +34,9 @@ RATE = 8000
 LEAST, MOST = 256, 8192
 _MASK = np.uint32(0xFFC00000)  # ten bits: a cut about every kilobyte
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
-MOST_BITS = 1 << 27  # of the bitmap that every Python worker holds: 16 MB
-ROWS = 256
+#: Of the bitmap that every Python worker holds: for a shared chunk, and in all (16 MB).
+BITS_EACH, MOST_BITS = 64, 1 << 27
+ROWS, PART_BYTES = 256, 4 << 20  # of a batch that are worked on at once
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -99,9 +100,11 @@ def _place(d: bytes) -> int:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, of ROWS rows and, on average, PART_BYTES at most."""
     for batch in batches:
-        for lo in range(0, len(batch), ROWS):
-            yield batch.slice(lo, ROWS)
+        rows = max(1, min(ROWS, len(batch) * PART_BYTES // max(1, batch.nbytes)))
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
 
 
 def _shared_digests(texts: DataFrame, bits: int | None) -> Bitmap:
@@ -111,7 +114,7 @@ def _shared_digests(texts: DataFrame, bits: int | None) -> Bitmap:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["place"])
 
     places = texts.mapInArrow(run, "place bigint").groupBy("place").agg(F.count("*").alias("n"))
-    return Bitmap(stored(places.where("n > 1").select("place")), "place", bits, hashed=False, most=MOST_BITS)
+    return Bitmap(stored(places.where("n > 1").select("place")), "place", bits, hashed=False, each=BITS_EACH, most=MOST_BITS)
 
 
 PACK = (
@@ -207,7 +210,7 @@ def _joined(packs: DataFrame, table: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
-        for batch in batches:
+        for batch in _parts(batches):
             done = []
             for said, chunk in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if said != now:
@@ -229,8 +232,9 @@ def media_columns(docs: DataFrame, *, bits: int | None = None, key: str = "doc_i
     A null text is an empty one, whose payload is UNIT bytes 0.  Equal texts give equal values;
     repeated rows and null keys stay; other columns are not read; an empty table gives no rows.
     A chunk that the bitmap lets through by chance is stored as a shared one, so its size only
-    decides how much is shuffled.  It has eight bits a shared chunk up to MOST_BITS, that is 16
-    million shared chunks (some 20 GB of them); beyond, more unshared chunks go through the join.
+    decides how much is shuffled.  It has BITS_EACH bits a shared chunk up to MOST_BITS, that is
+    two million shared chunks; beyond, more and more unshared chunks go through the join, at 64
+    times as many nearly all.
     """
     rows = pick(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("text"))
     key_type = dict(rows.dtypes)["id"]

@@ -7,9 +7,10 @@
 3. Prefixes.  Two sets that reach the threshold share at least MEET n-grams (or all they need)
    among the first n - ceil(t * n) + MEET of each; what two prefixes share, and what can follow
    behind them, bounds the overlap.  Prefix n-grams that only one class has are dropped.
-4. Stars.  In each n-gram's bucket the members are compared with one pivot; the links found
-   join components, and a bucket whose members are all in one component is finished.  Groups of
-   copies are settled here with as many comparisons as members.
+4. Stars.  In each n-gram's bucket the members are compared with one pivot, the least id, which
+   stands first where the bucket is sorted; the links found join components, and a bucket whose
+   members are all in one component is finished.  Groups of copies are settled here with as many
+   comparisons as members.
 5. Rest.  In the other buckets every two members of different components meet, and those whose
    sizes and shared prefixes allow a link are compared: exact, without a cap.
 6. Prefix tree.  Comparisons of one document are made together: the candidates' sets, in the
@@ -44,7 +45,6 @@ SALTS = 32
 HOT_CLASS = 40  # from 2**20 occurrences on, a bucket's rows are dealt out by document as well
 GROUP_BYTES = 8 << 20
 CANDIDATES = 128
-STARS = 1
 MEET = 3
 LARGE_BUCKET = 64
 BLOCK_SETS = 512
@@ -137,35 +137,50 @@ def prefixes(rows: DataFrame, k: int, percent: int, shared) -> DataFrame:
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
-    """(token, pos, id, n) of the prefix tokens that more than one set has.
+    """(token, pos, id, n, q, m, qos) of the prefix tokens that more than one set has.
 
-    Rows come sorted by token; a row stays if the one before or behind it has its token, so no
-    bucket is gathered.  Rows of very common tokens are dealt out by id too, and all stay.
+    Rows come sorted by token and id; a row stays if the one before or behind it has its token,
+    so no bucket is gathered.  q, m and qos are id, n and pos of the first row of the token.
+    Rows of very common tokens are dealt out by id too; all of them stay, and their q is null.
     """
     rows = sets.select(F.posexplode("tokens").alias("pos", "token"), "id", "n").select("token", "pos", "id", "n")
     hot = F.when(F.col("token") >= F.lit(HOT_CLASS << 56), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(F.lit(0))
 
+    names, types = ["token", "pos", "id", "n", "q", "m", "qos"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+    def laid_out(columns: list[np.ndarray], pivots: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        common = (columns[0] >= HOT_CLASS << 56)[keep]
+        made = [pa.array(c[keep], t) for c, t in zip(columns, types)] + [pa.array(p[keep], t, mask=common) for p, t in zip(pivots, types[4:])]
+        return pa.RecordBatch.from_arrays(made, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, undecided
+        held: list[np.ndarray] = []  # the last row, undecided
+        first: list[np.ndarray] = []  # id, n and pos of the first row of its token
         twin = False  # whether it equals the one before it
         for batch in batches:
             if not len(batch):
                 continue
-            batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            t = batch.column(0).to_numpy()
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)] if held else columns
+            t = columns[0]
             same = t[1:] == t[:-1]
             keep = np.zeros(len(t), dtype=bool)
             keep[1:] |= same
             keep[:-1] |= same
             keep[0] |= twin
             keep |= t >= HOT_CLASS << 56
-            twin, held = bool(keep[-1]) if len(t) > 1 else twin, batch.slice(len(t) - 1)
-            yield batch.slice(0, len(t) - 1).filter(pa.array(keep[:-1]))
-        if held is not None and (twin or held.column(0)[0].as_py() >= HOT_CLASS << 56):
-            yield held
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(t)), 0))
+            pivots = [columns[i][start] for i in (2, 3, 1)]
+            if held:
+                for p, f in zip(pivots, first):
+                    p[start == 0] = f
+            yield laid_out([c[:-1] for c in columns], [p[:-1] for p in pivots], keep[:-1])
+            twin, held, first = bool(keep[-1]) if len(t) > 1 else twin, [c[-1:] for c in columns], [p[-1:] for p in pivots]
+        if held:
+            yield laid_out(held, first, (held[0] >= HOT_CLASS << 56) | twin)
 
-    ordered = rows.repartition("token", hot).sortWithinPartitions("token")
-    return ordered.mapInArrow(run, rows.schema)
+    ordered = rows.repartition("token", hot).sortWithinPartitions("token", "id", "n", "pos")
+    return ordered.mapInArrow(run, "token bigint, pos int, id bigint, n int, q bigint, m int, qos int")
 
 
 def _meetings(both: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -186,9 +201,16 @@ def _need_of(percent: int) -> Column:
     return F.ceil((F.col("x") + F.col("y")) * percent / (100 + percent))
 
 
-def _star_pairs(active: DataFrame, pivots: DataFrame, percent: int, total: int) -> DataFrame:
-    """Members and their bucket's pivot, unless the sizes or the places in the order rule a link out."""
-    both = spread_join(active, pivots, ["token"], total)
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Members and their bucket's pivot, unless the sizes or the places in the order rule a link out.
+
+    The pivots of very common tokens, whose rows are in several tasks, are found by a minimum.
+    """
+    common = stored(members.where("q IS NULL").drop("q", "m", "qos"))
+    least = common.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("p"), F.count("*").alias("__rows"))
+    pivots = least.select("token", "__rows", F.col("p.id").alias("q"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos"))
+    found = spread_join(common, pivots, ["token"], common.count()).select(*members.columns)
+    both = members.where("q IS NOT NULL").unionByName(found).withColumns({"comp": F.col("id"), "d": F.col("q")})
     return _meetings(both, percent, False).where(F.col("reach") >= _need_of(percent)).select("a", "b").distinct()
 
 
@@ -382,20 +404,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, key: s
     several = small.where("n > 0 AND id IS NOT NULL").distinct().join(groups, ["n", "s1", "s2"]).select("id", "rep")
     several = several.join(several.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z"), "id")
     links = stored(several.select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-    active, total = members.withColumn("comp", F.col("id")), members.count()
-    for turn in range(STARS + 1):
-        if turn < STARS:  # compare with one pivot of each bucket: the least id, then one drawn by hash
-            rank = F.struct((F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("first"), "id", "n", "pos", "comp")
-            pivots = active.groupBy("token").agg(F.min(rank).alias("p"), F.count("*").alias("__rows"))
-            pivots = pivots.select("token", "__rows", F.col("p.id").alias("q"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos"), F.col("p.comp").alias("d"))
-            pairs = _star_pairs(active, pivots, percent, total)
-        else:
-            pairs = _rest_pairs(active, percent)
-        found = verified(pairs, rows, k, percent, shared)
-        links = stored(links.unionByName(found))
-        labels = stored(components(links))
-        if turn < STARS:
-            active = _unsettled(members, labels, total)
+    links = stored(links.unionByName(verified(_star_pairs(members, percent), rows, k, percent, shared)))
+    active = _unsettled(members.select("token", "pos", "id", "n"), stored(components(links)))
+    links = links.unionByName(verified(_rest_pairs(active, percent), rows, k, percent, shared))
+    labels = stored(components(links))
     named = small.join(groups, ["n", "s1", "s2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
@@ -424,10 +436,10 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "d
     return out.toDF(*names)
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold several components, with their component, and `large`."""
     with_comp = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "pos", "id", "n", F.coalesce("component", "id").alias("comp"))
     with_comp = stored(with_comp)
     open_tokens = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("__rows"))
     open_tokens = open_tokens.where("lo < hi").select("token", "__rows", (F.col("__rows") > LARGE_BUCKET).alias("large"))
-    return stored(spread_join(with_comp, open_tokens, ["token"], total))
+    return stored(spread_join(with_comp, open_tokens, ["token"], with_comp.count()))

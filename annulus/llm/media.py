@@ -34,8 +34,8 @@ RATE = 8000
 LEAST, MOST = 256, 8192
 _MASK = np.uint32(0xFFC00000)  # ten bits: a cut about every kilobyte
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
-#: Of the bitmap that every Python worker holds: for a shared chunk, and in all (16 MB).
-BITS_EACH, MOST_BITS = 64, 1 << 27
+#: Of the bitmap that every Python worker holds: for a shared chunk, and in all (32 MB).
+BITS_EACH, MOST_BITS = 128, 1 << 28
 ROWS, PART_BYTES = 256, 4 << 20  # of a batch that are worked on at once
 
 
@@ -233,8 +233,8 @@ def media_columns(docs: DataFrame, *, bits: int | None = None, key: str = "doc_i
     repeated rows and null keys stay; other columns are not read; an empty table gives no rows.
     A chunk that the bitmap lets through by chance is stored as a shared one, so its size only
     decides how much is shuffled.  It has BITS_EACH bits a shared chunk up to MOST_BITS, that is
-    two million shared chunks; beyond, more and more unshared chunks go through the join, at 64
-    times as many nearly all.
+    two million shared chunks; beyond, more and more unshared chunks go through the join, at 128
+    times as many two of three.
     """
     rows = pick(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("text"))
     key_type = dict(rows.dtypes)["id"]

@@ -1,8 +1,11 @@
 """N-gram Jaccard join: which documents' sets of word n-grams are alike, and in which groups.
 
-1. Order.  One pass counts n-gram occurrences in a sketch of fixed size; the global order of
+1. Order.  One pass counts n-gram occurrences in a sketch of bounded size; the global order of
    n-grams is (count class, hash), rare ones first.  Any fixed order gives right results; this
-   one keeps passages that many documents share out of the prefixes.
+   one keeps passages that many documents share out of the prefixes.  Where far more n-grams
+   than cells are counted a cell's count is mostly chance, whose spread is the square root of
+   that count; classes are finer than it, so an n-gram that few documents share still stands
+   behind those that none do.
 2. Classes.  Documents with equal sets are one class, represented by the least id.
 3. Prefixes.  Two sets that reach the threshold share at least MEET n-grams (or all they need)
    among the first n - ceil(t * n) + MEET of each; what two prefixes share, and what can follow
@@ -28,6 +31,7 @@ with a probability below one in a million.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +43,14 @@ from .common import Bitmap, pick, spread_join, stored
 from .components import components
 from .textscan import mix, shingles, slices
 
-CELLS = 1 << 20
-BLOCK = 1 << 14
-SALTS = 32
-HOT_CLASS = 40  # from 2**20 occurrences on, a bucket's rows are dealt out by document as well
+CELLS, MOST_CELLS = 1 << 20, 1 << 22  # one for each CELL_BYTES of text, between these
+CELL_BYTES = 1 << 10
+BLOCKS = 64
+SALTS = 8
+EXACT = 1 << 12  # counts up to this are classes of their own; beyond, STEPS to a factor of two
+STEPS = 512
+SHIFT = 48  # bits of a place below its class
+HOT_CLASS = EXACT + 8 * STEPS  # from 2**20 occurrences on, a bucket's rows are dealt out by document as well
 GROUP_BYTES = 8 << 20
 CANDIDATES = 128
 MEET = 3
@@ -56,57 +64,71 @@ def _need(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
+def cells_for(rows: DataFrame) -> int:
+    """Cells of the sketch: a power of two that follows the bytes of text."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_CELLS, max(CELLS, 1 << (size // CELL_BYTES).bit_length()))
+
+
+def count_classes(counts: np.ndarray) -> np.ndarray:
+    """Class of each count, not falling: the count itself, then steps of its logarithm; below 2**14."""
+    c = np.maximum(counts, _U(1))
+    return np.where(c < EXACT, c, (EXACT + STEPS * np.maximum(0, np.log2(c / EXACT))).astype(np.uint64)).astype(np.uint16)
+
+
 def order_classes(rows: DataFrame, k: int) -> np.ndarray:
-    """Class of each sketch cell: twice the binary logarithm of its count, as bytes.
+    """Class of each sketch cell, by its count.
 
     Counts are summed within a task, then over salted blocks, then over blocks; the driver gets
-    CELLS bytes, whatever the input.
+    two bytes a cell, at most 2 * MOST_CELLS whatever the input.  Counts travel as byte planes,
+    of which the upper ones are mostly zeros.
     """
+    cells = cells_for(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.uint64)
+        total = np.zeros(cells, dtype=np.uint32)
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 found = [*shingles(data, offsets, k)]
-                np.add.at(total, (np.concatenate(found) & _U(CELLS - 1)).astype(np.int64), _U(1))
+                np.add.at(total, (np.concatenate(found) & _U(cells - 1)).astype(np.int64), np.uint32(1))
         if total.any():
-            yield blocks(range(CELLS // BLOCK), narrow(total).reshape(-1, BLOCK))
+            yield blocks(range(BLOCKS), [planes(c) for c in total.reshape(BLOCKS, -1)])
 
     def blocks(ids, parts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
 
-    def narrow(counts: np.ndarray) -> np.ndarray:
-        return np.minimum(counts, _U((1 << 32) - 1)).astype(np.uint32)  # beyond that, the order is by hash
+    def planes(counts: np.ndarray) -> bytes:
+        narrow = np.minimum(counts, (1 << 32) - 1).astype("<u4")  # beyond that, the order is by hash
+        return narrow.view(np.uint8).reshape(-1, 4).T.tobytes()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(c.as_buffer(), dtype=np.uint32).astype(np.uint64)
+                part = np.ascontiguousarray(np.frombuffer(c.as_buffer(), dtype=np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.uint64)
                 sums[i] = sums[i] + part if i in sums else part
         return sums
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sums := summed(batches):
-            yield blocks(list(sums), [narrow(c) for c in sums.values()])
+            yield blocks(list(sums), [planes(c) for c in sums.values()])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sums := summed(batches):
-            yield blocks(list(sums), [np.minimum(126, 2 * np.log2(np.maximum(c, _U(1)))).astype(np.uint8) for c in sums.values()])
+            yield blocks(list(sums), [count_classes(c).tobytes() for c in sums.values()])
 
     schema = "block int, counts binary"
-    n = CELLS // BLOCK
     parts = rows.mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    salted = parts.repartition(n, "block", "salt").select("block", "counts").mapInArrow(add, schema)
-    classes = np.zeros(CELLS, dtype=np.uint8)
-    for block, counts in salted.repartition(n, "block").mapInArrow(classify, schema).collect():  # CELLS bytes
-        classes[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(counts, dtype=np.uint8)
-    return classes
+    salted = parts.repartition(BLOCKS, "block", "salt").select("block", "counts").mapInArrow(add, schema)
+    classes = np.zeros((BLOCKS, cells // BLOCKS), dtype=np.uint16)
+    for block, counts in salted.repartition(BLOCKS, "block").mapInArrow(classify, schema).collect():  # two bytes a cell
+        classes[block] = np.frombuffer(counts, dtype=np.uint16)
+    return classes.reshape(-1)
 
 
 def _places(u: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The n-grams' places in the global order: the class above 56 bits of the hash."""
-    return (classes[(u & _U(CELLS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (u >> _U(8))
+    """The n-grams' places in the global order: the class above SHIFT bits of the hash."""
+    return (classes[(u & _U(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << _U(SHIFT)) | (u >> _U(64 - SHIFT))
 
 
 def prefixes(rows: DataFrame, k: int, percent: int, shared) -> DataFrame:
@@ -144,12 +166,12 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
     Rows of very common tokens are dealt out by id too; all of them stay, and their q is null.
     """
     rows = sets.select(F.posexplode("tokens").alias("pos", "token"), "id", "n").select("token", "pos", "id", "n")
-    hot = F.when(F.col("token") >= F.lit(HOT_CLASS << 56), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(F.lit(0))
+    hot = F.when(F.col("token") >= F.lit(HOT_CLASS << SHIFT), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(F.lit(0))
 
     names, types = ["token", "pos", "id", "n", "q", "m", "qos"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
     def laid_out(columns: list[np.ndarray], pivots: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
-        common = (columns[0] >= HOT_CLASS << 56)[keep]
+        common = (columns[0] >= HOT_CLASS << SHIFT)[keep]
         made = [pa.array(c[keep], t) for c, t in zip(columns, types)] + [pa.array(p[keep], t, mask=common) for p, t in zip(pivots, types[4:])]
         return pa.RecordBatch.from_arrays(made, names=names)
 
@@ -168,7 +190,7 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
             keep[1:] |= same
             keep[:-1] |= same
             keep[0] |= twin
-            keep |= t >= HOT_CLASS << 56
+            keep |= t >= HOT_CLASS << SHIFT
             start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(t)), 0))
             pivots = [columns[i][start] for i in (2, 3, 1)]
             if held:
@@ -177,7 +199,7 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
             yield laid_out([c[:-1] for c in columns], [p[:-1] for p in pivots], keep[:-1])
             twin, held, first = bool(keep[-1]) if len(t) > 1 else twin, [c[-1:] for c in columns], [p[-1:] for p in pivots]
         if held:
-            yield laid_out(held, first, (held[0] >= HOT_CLASS << 56) | twin)
+            yield laid_out(held, first, (held[0] >= HOT_CLASS << SHIFT) | twin)
 
     ordered = rows.repartition("token", hot).sortWithinPartitions("token", "id", "n", "pos")
     return ordered.mapInArrow(run, "token bigint, pos int, id bigint, n int, q bigint, m int, qos int")
@@ -247,15 +269,26 @@ def _rest_pairs(active: DataFrame, percent: int) -> DataFrame:
 def _block_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of sets (id, n, comp, small, tokens) that share tokens of large buckets; rows: token, id.
 
-    Sets that meet in large buckets form clusters; a cluster is dealt into blocks of about
-    BLOCK_SETS, and every two blocks meet in a task of their own.
+    Sets that meet in large buckets form clusters, and a cluster is parted into bands of sizes so
+    wide that only sets of one band or of neighbouring ones can link.  A band is dealt into
+    blocks of about BLOCK_SETS, and every two blocks of such bands meet in a task of their own.
     """
+    width = max(0.05, 1.0001 * math.log(100 / percent))  # a little more than the widest ratio, for rounding
+    band = F.floor(F.log("n") / width)
     pivots = rows.groupBy("token").agg(F.min("id").alias("b"), F.count("*").alias("__rows"))
     clusters = components(spread_join(rows, pivots, ["token"], rows.count()).select(F.col("id").alias("a"), "b").distinct())
-    placed = sets.join(clusters.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster")
-    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("__rows")).withColumn("blocks", F.floor(F.col("__rows") / BLOCK_SETS) + 1)
-    placed = spread_join(placed.withColumn("key", F.xxhash64("id")), sizes, ["cluster"], clusters.count()).withColumn("block", F.pmod("key", "blocks"))
-    meet = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = stored(sets.join(clusters.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster").withColumn("band", band))
+    counted = placed.groupBy("cluster", "band").agg(F.count("*").alias("c")).withColumn("blocks", F.floor(F.col("c") / BLOCK_SETS) + 1)
+    sizes = counted.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"), F.sum("c").alias("__rows"))  # a row's map grows with the logarithm of the largest set
+    placed = spread_join(placed, sizes, ["cluster"], clusters.count())
+
+    def blocks(of: Column) -> Column:
+        count = F.coalesce(F.try_element_at("bands", of), F.lit(0).cast("long"))
+        each = F.transform(F.sequence(F.lit(0).cast("long"), count), lambda i: F.shiftleft(of, 40) + i)
+        return F.slice(each, F.lit(1), count.cast("int"))
+
+    placed = placed.withColumn("block", F.shiftleft("band", 40) + F.pmod(F.xxhash64("id"), F.try_element_at("bands", F.col("band"))))
+    meet = placed.withColumn("with", F.explode(F.concat(*(blocks(F.col("band") + d) for d in (-1, 0, 1)))))
     meet = meet.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
     ordered = meet.select("cluster", "i", "j", "block", "id", "n", "comp", "small", "tokens").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
@@ -394,7 +427,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, key: s
     null id has no component.  Other columns are not read, an empty table gives no rows.
     """
     rows = pick(docs, key, text).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    shared = rows.sparkSession.sparkContext.broadcast(order_classes(rows.select("text"), k))  # CELLS bytes
+    shared = rows.sparkSession.sparkContext.broadcast(order_classes(rows.select("text"), k))  # at most 2 * MOST_CELLS bytes
     sets = stored(prefixes(rows, k, percent, shared))
     small = sets.select("id", "n", "s1", "s2")
     groups = stored(small.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))

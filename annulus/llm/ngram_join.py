@@ -16,7 +16,9 @@
    comparisons as members.
 5. Rest.  In the other buckets every two members of different components meet, and those whose
    sizes and shared prefixes allow a link are compared: exact, without a cap.
-6. Prefix tree.  Comparisons of one document are made together: the candidates' sets, in the
+6. Counts.  Of each set the n-grams are counted in cells by hash; the sum of the lesser counts
+   of two sets bounds their overlap, so most pairs that don't link go without their texts.
+7. Prefix tree.  Comparisons of one document are made together: the candidates' sets, in the
    global order, form a prefix tree, kept as sorted paths with the length that each shares with
    the one before; the overlap of a shared path is counted once, and a path is left when what
    remains of both sets, by their places in the global order, can't reach the overlap that is
@@ -131,8 +133,24 @@ def _places(u: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (classes[(u & _U(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << _U(SHIFT)) | (u >> _U(64 - SHIFT))
 
 
+def cell_counts(u: np.ndarray) -> bytes:
+    """How many n-grams of a set fall into each of its cells, of which there is one for two n-grams; 255 stands for that or more."""
+    cells = 1 << min(13, max(5, (len(u) // 2).bit_length()))
+    return np.minimum(np.bincount(((u >> _U(32)) & _U(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(one: bytes, two: bytes) -> int:
+    """No less than the overlap of the two sets with these cell counts; the finer ones are folded."""
+    cells, folded = min(len(one), len(two)), []
+    for c in (one, two):
+        counts = np.frombuffer(c, dtype=np.uint8).astype(np.int32)
+        counts[counts == 255] = 1 << 16  # no bound then; counts of 254 folded 2**8 to one stay below it
+        folded.append(counts.reshape(-1, cells).sum(axis=0, dtype=np.int64) if len(counts) > cells else counts)
+    return int(np.minimum(*folded).sum(dtype=np.int64)) if max(map(int, map(np.max, folded))) < 1 << 16 else 1 << 62
+
+
 def prefixes(rows: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """(id, n, s1, s2, tokens) of every row: set size, signature, ordered prefix.
+    """(id, n, s1, s2, tokens, counts) of every row: set size, signature, ordered prefix, cell counts.
 
     A token is an n-gram's place in the global order; `shared` holds the broadcast classes.
     """
@@ -141,21 +159,22 @@ def prefixes(rows: DataFrame, k: int, percent: int, shared) -> DataFrame:
         classes = shared.value
         for batch in batches:
             for first, data, offsets in slices(batch.column(1)):
-                size, one, two, tokens = [], [], [], []
+                size, one, two, tokens, counts = [], [], [], [], []
                 for found in shingles(data, offsets, k):
                     u = np.unique(found)
                     n = len(u)
                     size.append(n)
                     one.append(int(mix(u).sum(dtype=np.uint64).astype(np.int64)))
                     two.append(int(np.bitwise_xor.reduce(mix(u ^ _U(0x5851F42D4C957F2D))).astype(np.int64)) if n else 0)
+                    counts.append(cell_counts(u))
                     token = np.sort(_places(u, classes))
                     tokens.append(token[: n - -(-percent * n // 100) + MEET if n else 0].astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(size)), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-                    names=["id", "n", "s1", "s2", "tokens"],
+                    [batch.column(0).slice(first, len(size)), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
+                    names=["id", "n", "s1", "s2", "tokens", "counts"],
                 )
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n int, s1 bigint, s2 bigint, tokens array<bigint>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n int, s1 bigint, s2 bigint, tokens array<bigint>, counts binary")
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
@@ -338,21 +357,49 @@ def _block_batch(key: tuple, held: list[tuple], percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """The (a, b) of pairs whose whole texts reach the threshold, by the prefix tree.
+def _together(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, part, b, ...): the rows of held (id, ...) of each a, with b null, and behind them those of its candidates b.
 
-    Texts of the documents named in pairs are fetched through a bitmap and exact joins; the
-    candidates of one document come in blocks of about CANDIDATES.
+    held is thinned out by a bitmap before exact joins; the candidates of one document come in
+    blocks of about CANDIDATES.
     """
-    pairs = stored(pairs)
     counted = pairs.groupBy("a").agg(F.count("*").alias("__rows")).withColumn("c", F.col("__rows"))
     dealt = spread_join(pairs, counted, ["a"], pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("c") / CANDIDATES) + 1).alias("part"))
     dealt = stored(dealt)
     named = dealt.select(F.col("a").alias("id")).unionByName(dealt.select(F.col("b").alias("id")))
-    texts = Bitmap(named, "id").keep(rows, "id")
     asked = dealt.select("a", "part").distinct().withColumn("b", F.lit(None).cast("long")).withColumn("id", F.col("a"))
-    members = asked.unionByName(dealt.withColumn("id", F.col("b"))).join(texts, "id").select("a", "part", "b", "text")
-    grouped = members.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    members = asked.unionByName(dealt.withColumn("id", F.col("b"))).join(Bitmap(named, "id").keep(held, "id"), "id").drop("id")
+    return members.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs whose cell counts allow the overlap that is needed; none that links is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        for batch in batches:
+            first, second = [], []
+            for a, part, b, n, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, part) != now:
+                    now, own = (a, part), []
+                if b is None:
+                    own.append((n, counts))
+                elif any(overlap_bound(c, counts) >= _need(m, n, percent) for m, c in own):
+                    first.append(a)
+                    second.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
+
+    held = sets.where("n > 0").select("id", "n", "counts")
+    return _together(pairs, held).select("a", "part", "b", "n", "counts").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """The (a, b) of pairs whose whole texts reach the threshold, by the prefix tree.
+
+    Texts are fetched for those pairs only that the cell counts leave.
+    """
+    pairs = stored(_possible(stored(pairs), sets, percent))
+    grouped = _together(pairs, rows).select("a", "part", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, ids, sets, weight, classes = None, [], [], [], 0, shared.value
@@ -432,14 +479,14 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, key: s
     small = sets.select("id", "n", "s1", "s2")
     groups = stored(small.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
     chosen = groups.select(F.col("rep").alias("id"), "n", "s1", "s2")
-    members = stored(shared_tokens(sets.join(chosen, ["id", "n", "s1", "s2"], "left_semi")))
+    members = stored(shared_tokens(sets.drop("counts").join(chosen, ["id", "n", "s1", "s2"], "left_semi")))
     # an id with several sets ties their classes together
     several = small.where("n > 0 AND id IS NOT NULL").distinct().join(groups, ["n", "s1", "s2"]).select("id", "rep")
     several = several.join(several.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z"), "id")
     links = stored(several.select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-    links = stored(links.unionByName(verified(_star_pairs(members, percent), rows, k, percent, shared)))
+    links = stored(links.unionByName(verified(_star_pairs(members, percent), rows, sets, k, percent, shared)))
     active = _unsettled(members.select("token", "pos", "id", "n"), stored(components(links)))
-    links = links.unionByName(verified(_rest_pairs(active, percent), rows, k, percent, shared))
+    links = links.unionByName(verified(_rest_pairs(active, percent), rows, sets, k, percent, shared))
     labels = stored(components(links))
     named = small.join(groups, ["n", "s1", "s2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))

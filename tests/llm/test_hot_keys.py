@@ -4,11 +4,13 @@ import random
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from conftest import made
 from pyspark.sql import functions as F
 
 from annulus.llm import common, components, line_dedup, mixing, ngram_join, pii
+from annulus.llm.textscan import shingles
 
 
 def table(spark, docs):
@@ -60,6 +62,29 @@ def test_unlinked_sets_of_one_bucket(spark, monkeypatch):
     assert 1 < len({c for _, _, c in got}) < len(docs)
 
 
+def test_shared_ngrams_stand_behind_chance(spark, monkeypatch):
+    """Far more n-grams than cells: those of a passage in 40 texts still come after those of one text."""
+    for name in ("CELLS", "MOST_CELLS"):
+        monkeypatch.setattr(ngram_join, name, 1 << 10, raising=False)
+    passage = " ".join(f"p{j}" for j in range(30))
+    docs = [(i, " ".join(f"{i}w{j}" for j in range(250)) + (f" {passage}" if i < 40 else "")) for i in range(400)]
+    classes = ngram_join.order_classes(table(spark, docs).select("text"), 4)
+    data = np.frombuffer(passage.encode(), dtype=np.uint8)
+    (u,) = shingles(data, np.array([0, len(data)]), 4)
+    found = classes[(u & np.uint64(len(classes) - 1)).astype(np.int64)]
+    assert np.mean([(classes < c).mean() for c in found]) > 0.9
+
+
+def test_cell_counts_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n, m, common in [(1, 1, 1), (7, 9, 6), (400, 430, 380), (500, 500, 300), (30_000, 26_000, 25_000), (3_000_000, 2_700_000, 2_700_000), (9, 5000, 9)]:
+        u = rng.integers(0, 1 << 64, n + m - common, dtype=np.uint64)
+        bound = ngram_join.overlap_bound(ngram_join.cell_counts(np.unique(u[:n])), ngram_join.cell_counts(np.unique(u[n - common :])))
+        assert bound >= common
+        if n == 500:  # far from the threshold: its text isn't needed
+            assert bound < ngram_join._need(n, m, 85)
+
+
 def test_lines_of_one_gap(spark, spread):
     """Many lines that differ in one word, null keys, and ids that repeat."""
     docs = [(i, f"all of these lines are alike but {i % 70} for one word\nline of its own {i} {i * 7} {i * 11} {i * 13}") for i in range(150)]

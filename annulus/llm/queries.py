@@ -32,9 +32,13 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+
+    def count(kind: int) -> Column:
+        # a second parameter of the lambda, even one with a default, would be the element's place
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_id")
-    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", *(count(k) for k in range(4)), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
